@@ -98,7 +98,7 @@ def _price(gain: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
-def column_generation(demand: np.ndarray, room: int, gap: float = 1e-4, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
+def column_generation(demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use each, covering ``demand[u - 1]`` items of u units exactly.
 
     Revised simplex on the set-partitioning form: the first basis has a pattern for each length, duals price

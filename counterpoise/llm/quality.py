@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import table
 
 BUCKETS, TRAIN_ROWS, KEEP = 2048, 6000, 0.5
+AGAIN = "⟳"
 GOOD, BAD, ABSTAIN = "1", "0", "2"
 
 
 def shape(text: Column) -> Column:
-    """A text's word shapes: digit runs 0, capital runs 9, single capitals A, other letter runs a; the rest stays."""
-    t = F.regexp_replace(text, "[0-9]+", "0")
+    """A text's word shapes: digit runs 0, capital runs 9, single capitals A, other letter runs a; the rest stays.
+    A word that the next one repeats gets a mark."""
+    t = F.regexp_replace(text, r"(?<!\S)(\S++)(?=\s\1(?!\S))", f"$1{AGAIN}")
+    t = F.regexp_replace(t, "[0-9]+", "0")
     t = F.regexp_replace(t, r"\p{Lu}{2,}", "9")
     t = F.regexp_replace(t, r"[\p{Ll}\p{Lo}\p{M}]+", "a")
     return F.regexp_replace(t, r"\p{Lu}", "A")
@@ -32,25 +35,42 @@ def shaped(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_words", F.filter(F.split(shape(t), r"\s+"), lambda w: w != "")).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
 
 
-def labellers() -> dict[str, Column]:
-    """name -> vote, on the columns of ``shaped``; documents without words get only abstentions."""
-    n = F.size("_words")
+def measured(at: DataFrame) -> DataFrame:
+    """The columns of ``shaped`` replaced by what the labellers look at; shares are null without words or lines."""
+    n = F.nullif(F.size("_words"), F.lit(0))
     share = lambda test: F.size(F.filter("_words", test)) / n
-    lines = F.size("_lines")
+    lines = F.nullif(F.size("_lines"), F.lit(0))
+    return at.withColumns({
+        "_n": F.size("_words"),
+        "_symbols": share(lambda w: w.rlike(r"[#$%&*~^=<>_@\\]{2,}")),
+        "_pipes": share(lambda w: w.isin("|", "•", "·", "/", "\\", "-", "||")),
+        "_capitals": share(lambda w: w.startswith("9")),
+        "_shouting": share(lambda w: w.contains("!!")),
+        "_again": share(lambda w: w.contains(AGAIN)),
+        "_plain": share(lambda w: w.isin("a", "Aa", "A", "a.", "a,", "Aa.", "Aa,", "a;", "a:", "a?", "a!", "(a", "a)", "A.", "A,", "'a", "a'", "a'a", "a’a", "a-a")),
+        "_ends": F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*".!?:;…\"”»)"))) / lines,
+        "_distinct": F.size(F.array_distinct("_lines")) / lines,
+    }).drop("_words", "_lines")
+
+
+def labellers() -> dict[str, Column]:
+    """name -> vote, on the columns of ``measured``; documents without words get only abstentions."""
 
-    def vote(value: Column, good, bad) -> Column:
-        return F.when(n == 0, ABSTAIN).when(bad(value), BAD).when(good(value), GOOD).otherwise(ABSTAIN)
+    def vote(value: str, bad, good=None) -> Column:
+        v = F.col(value)
+        seen = F.when((F.col("_n") > 0) & bad(v), BAD)
+        return (seen if good is None else seen.when((F.col("_n") > 0) & good(v), GOOD)).otherwise(ABSTAIN)
 
-    plain = share(lambda w: F.length(F.translate(w, "aA.,;:?'’\"()-", "")) == 0)
+    # What marks junk says nothing about a text without it; only the two measures of prose vote both ways.
     return {
-        "symbols": vote(share(lambda w: w.rlike(r"[#$%&*~^=<>_@\\]{2,}")), lambda v: v < 0.02, lambda v: v > 0.2),
-        "pipes": vote(share(lambda w: w.rlike(r"^[|•·/\\\t-]+$")), lambda v: v < 0.02, lambda v: v > 0.15),
-        "capitals": vote(share(lambda w: w.startswith("9")), lambda v: v < 0.1, lambda v: v > 0.4),
-        "shouting": vote(share(lambda w: w.contains("!!")), lambda v: v < 0.02, lambda v: v > 0.2),
-        "plain": vote(plain, lambda v: v > 0.85, lambda v: v < 0.5),
-        "short": vote(n, lambda v: v >= 40, lambda v: v < 3),
-        "ends": vote(F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"[.!?:;…\"”»)]$"))) / F.greatest(lines, F.lit(1)), lambda v: v > 0.6, lambda v: v < 0.2),
-        "repeats": vote(F.size(F.array_distinct("_lines")) / F.greatest(lines, F.lit(1)), lambda v: v > 0.9, lambda v: v < 0.3),
+        "symbols": vote("_symbols", lambda v: v > 0.2),
+        "pipes": vote("_pipes", lambda v: v > 0.15),
+        "capitals": vote("_capitals", lambda v: v > 0.4),
+        "shouting": vote("_shouting", lambda v: v > 0.2),
+        "again": vote("_again", lambda v: v > 0.25),
+        "plain": vote("_plain", lambda v: v < 0.6, lambda v: v > 0.85),
+        "ends": vote("_ends", lambda v: v < 0.2, lambda v: v > 0.6),
+        "repeats": vote("_distinct", lambda v: v < 0.3),
     }
 
 
@@ -147,13 +167,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -
     smallest key hashes.  None if no document has a word."""
     at = shaped(docs.select("doc_id", "text"))
     # As many rows as there are vote patterns (3 to the power of the labellers at most), not documents.
-    found = at.select(votes().alias("pattern")).groupBy("pattern").count().collect()
+    found = measured(at).select(votes().alias("pattern")).groupBy("pattern").count().collect()
     found = [r for r in found if set(r["pattern"]) != {ABSTAIN}]
     if not found:
         return None
     labels = expectation_maximisation([r["pattern"] for r in found], [r["count"] for r in found])
     chosen = docs.select("doc_id", "text").filter("length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = shaped(chosen).select(votes().alias("pattern"), F.transform("_words", lambda w: bucket(w, buckets).cast("int")).alias("at")).collect()
+    rows = shaped(chosen).withColumn("at", F.transform("_words", lambda w: bucket(w, buckets).cast("int")))
+    rows = measured(rows).select(votes().alias("pattern"), "at").collect()
     rows = [r for r in rows if r["at"]]
     features = []
     for r in rows:
