@@ -25,6 +25,7 @@ from .common import cut, scratch, table
 
 SMALLEST_SHARED = 100  # bytes from which equal payloads become revisits
 ROLL_BYTES = 64 << 20
+SMALL_REVISITS = 500_000
 EPOCH = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -196,14 +197,18 @@ def with_refers(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers_to: for payloads of at least SMALLEST_SHARED bytes that an earlier page
     (smaller page_id) has too, that page's id; else null.
 
-    The digests are counted before they are joined, and only those with more than one page take part, so a
-    payload that a third of the pages share is one row on the small side of a join that can be split.
+    Digests alone are compared; the pages are then joined to the revisits found, which are broadcast if there are
+    at most ``SMALL_REVISITS`` (about 80 bytes each), and else by a join that can be split.  A payload that a third
+    of the pages share is one row on the small side of the digest join.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= SMALLEST_SHARED, F.unhex(F.sha2("html", 256))))
-    first = rows.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    joined = rows.join(first, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    short = rows.filter("digest is not null and page_id is not null").select("page_id", "digest")
+    first = short.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
+    revisits = cut(short.join(first, "digest").filter("refers_to < page_id").distinct(), "warc-revisits")
+    if revisits.count() <= SMALL_REVISITS:
+        revisits = F.broadcast(revisits)
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFrame:
