@@ -47,7 +47,7 @@ def validate(df: DataFrame) -> None:
 
 def class_counts(df: DataFrame, ratio: float = 1.0) -> DataFrame:
     """n0, n1, prior, target minority count and how many rows are missing for ``ratio``."""
-    c = df.agg(F.count_if("y = 0").alias("n0"), F.count_if("y = 1").alias("n1"), F.avg("y").alias("prior"))
+    c = df.agg(F.count_if(F.expr("y = 0")).alias("n0"), F.count_if(F.expr("y = 1")).alias("n1"), F.avg("y").alias("prior"))
     return c.select("n0", "n1", "prior", (F.col("n1") + S.need(F.col("n1"), F.col("n0"), ratio)).alias("target"), S.need(F.col("n1"), F.col("n0"), ratio).alias("need"))
 
 
@@ -112,7 +112,7 @@ def folds(df: DataFrame, k: int, seed: int = 42, tag: str = "fold") -> DataFrame
     ended, so class counts differ by at most one between folds and so do the fold sizes."""
     order = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("row_id").cast("string"))), "row_id")
     off = F.when(F.col("y") == 1, F.col("_n0") % k).otherwise(0)
-    one = df.agg(F.count_if("y = 0").alias("_n0"))
+    one = df.agg(F.count_if(F.expr("y = 0")).alias("_n0"))
     return df.crossJoin(F.broadcast(one)).withColumn("fold", ((F.row_number().over(order) - 1 + off) % k + 1).cast("int")).drop("_n0")
 
 

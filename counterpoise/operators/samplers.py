@@ -106,7 +106,7 @@ def smote_tomek(df: DataFrame, need: int, n1: int, seed: int) -> DataFrame:
 def danger(df: DataFrame, m: int) -> DataFrame:
     """row_id, n_maj: minority rows of whose m nearest rows at least half but not all are of the majority (Han 2005)."""
     near = knn.nearest(minority(df), df, m, skip_self=True)
-    c = near.join(df.select(F.col("row_id").alias("j"), "y"), "j").groupBy("q").agg(F.count_if("y = 0").alias("n_maj"))
+    c = near.join(df.select(F.col("row_id").alias("j"), "y"), "j").groupBy("q").agg(F.count_if(F.expr("y = 0")).alias("n_maj"))
     return c.filter((F.col("n_maj") * 2 >= m) & (F.col("n_maj") < m)).select(F.col("q").alias("row_id"), "n_maj")
 
 
@@ -123,7 +123,7 @@ def adasyn(df: DataFrame, need: int, n1: int, seed: int) -> DataFrame:
     k = max(1, min(5, n1 - 1))
     rows = minority(df)
     near = knn.nearest(rows, df, k, skip_self=True).join(df.select(F.col("row_id").alias("j"), "y"), "j")
-    r = near.groupBy("q").agg((F.count_if("y = 0") / k).alias("r"))
+    r = near.groupBy("q").agg((F.count_if(F.expr("y = 0")) / k).alias("r"))
     total = r.agg(F.sum("r").alias("total"))
     g = r.crossJoin(F.broadcast(total)).select("q", F.bround(F.col("r") / F.col("total") * need).cast("int").alias("g")).filter("g > 0")
     d = g.select("q", F.explode(F.sequence(F.lit(1), F.col("g"))).alias("t"))
@@ -145,7 +145,7 @@ def kmeans_smote(df: DataFrame, need: int, n1: int, seed: int, clusters: int = 8
     v = df.withColumn("v", array_to_vector("features"))
     model = KMeans(k=clusters, seed=seed, featuresCol="v", predictionCol="cluster").fit(v)
     at = model.transform(v).select("row_id", "features", "y", "cluster")
-    c = at.groupBy("cluster").agg(F.count_if("y = 1").alias("c1"), F.count("*").alias("n"))
+    c = at.groupBy("cluster").agg(F.count_if(F.expr("y = 1")).alias("c1"), F.count("*").alias("n"))
     keep = c.filter((F.col("c1") >= 2) & (F.col("c1") / F.col("n") >= threshold))
     m = at.filter("y = 1").join(F.broadcast(keep.select("cluster", "c1")), "cluster")
     centre = m.select("cluster", F.posexplode("features").alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("centre"))

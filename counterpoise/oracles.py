@@ -104,8 +104,8 @@ _centroid = f"""{near('nn', 'mi', 'ma', False, '6')},
 wx AS (SELECT q, 1.0::DOUBLE / (d + 1e-12::DOUBLE) AS w, unnest(ma.f) AS x, generate_subscripts(ma.f, 1) - 1 AS pos FROM nn JOIN ma ON ma.row_id = nn.j),
 ce AS (SELECT q, pos, sum(w * x) / sum(w) AS x FROM wx GROUP BY q, pos)"""
 ORACLE_SQL["weighted_majority_centroid"] = f"WITH {emb()}, {_centroid} SELECT q, CAST(pos AS INTEGER) AS pos, {r('x', 'x')} FROM ce"
-ORACLE_SQL["outward_direction"] = f"""WITH {emb()}, {_centroid}, t AS (SELECT q, list(x ORDER BY pos) AS t FROM ce),
-v AS (SELECT q, list_transform(list_zip(mi.f, t), lambda z: z[1] - z[2]) AS v FROM t JOIN mi ON mi.row_id = q),
+ORACLE_SQL["outward_direction"] = f"""WITH {emb()}, {_centroid}, tg AS (SELECT q, list(x ORDER BY pos) AS t FROM ce GROUP BY q),
+v AS (SELECT q, list_transform(list_zip(mi.f, t), lambda z: z[1] - z[2]) AS v FROM tg JOIN mi ON mi.row_id = q),
 w AS (SELECT q, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM v)
 SELECT q AS draw, {r(fsum('v'), 'f_sum')}, {r('v[1]', 'f_first')}, {r('sqrt(list_inner_product(v, v))', 'length')} FROM w"""
 
@@ -141,8 +141,8 @@ an1 AS (SELECT row_id, f, (SELECT min(d) FROM am WHERE q = row_id) AS d_min, (SE
 an AS (SELECT *, d_maj / (d_min + 1e-12::DOUBLE) AS ratio FROM an1 WHERE d_maj > d_min AND d_maj / (d_min + 1e-12::DOUBLE) <= 5.0),
 ar AS (SELECT *, row_number() OVER (ORDER BY abs(ratio - 1.35::DOUBLE), scale DESC, row_id) AS anchor_rank FROM an),
 aw AS (SELECT q, 1.0::DOUBLE / (d + 1e-12::DOUBLE) AS w, rk, unnest(ma.f) AS x, generate_subscripts(ma.f, 1) AS pos FROM aj JOIN ma ON ma.row_id = aj.j WHERE q IN (SELECT row_id FROM ar)),
-at AS (SELECT q, list(x ORDER BY pos) AS t FROM (SELECT q, pos, sum(w * x ORDER BY rk) / sum(w ORDER BY rk) AS x FROM aw GROUP BY q, pos) GROUP BY q),
-ad AS (SELECT ar.*, list_transform(list_zip(t, f), lambda z: z[1] - z[2]) AS v FROM ar JOIN at ON at.q = ar.row_id),
+tg AS (SELECT q, list(x ORDER BY pos) AS t FROM (SELECT q, pos, sum(w * x ORDER BY rk) / sum(w ORDER BY rk) AS x FROM aw GROUP BY q, pos) GROUP BY q),
+ad AS (SELECT ar.*, list_transform(list_zip(t, f), lambda z: z[1] - z[2]) AS v FROM ar JOIN tg ON tg.q = ar.row_id),
 ru AS (SELECT anchor_rank, scale, step, frac, list_transform(list_zip(f, v), lambda z: z[1] + frac * (1.05::DOUBLE * scale) * (-(z[2] / sqrt(list_inner_product(v, v))))) AS f
   FROM ad, (SELECT * FROM (VALUES (0, 0.12::DOUBLE), (1, 0.24::DOUBLE), (2, 0.38::DOUBLE), (3, 0.54::DOUBLE)) s(step, frac))),
 rb AS (SELECT *, anchor_rank * 4 + step AS row_id FROM ru, box WHERE len(list_filter(list_zip(f, lo, hi), lambda t: t[1] < t[2] OR t[1] > t[3])) = 0),
@@ -162,12 +162,15 @@ _scored = f"""{_ranked}, cv AS (SELECT pos, min(list_distance(cb.f, an0.f)) AS c
 cs AS (SELECT pos, f, coverage, {_score} + 1e-9::DOUBLE * {u(42, 'ladder-tie', 'pos')} AS score FROM cb JOIN cv USING (pos))"""
 ORACLE_SQL["ladder_scores"] = f"WITH {emb()}, {_ladder}, {_scored} SELECT pos, {r('coverage', 'coverage')}, {r('score', 'score', 6)} FROM cs"
 _unique = """un AS (SELECT *, list_transform(f, lambda x: round_even(x, 10) + 0.0) AS k FROM pa),
-uq AS (SELECT part, at, f FROM un WHERE k NOT IN (SELECT list_transform(f, lambda x: round_even(x, 10) + 0.0) FROM emb) QUALIFY row_number() OVER (PARTITION BY k ORDER BY part, at) = 1)"""
-_final = f"SELECT row_number() OVER (ORDER BY part, at) - 1 AS draw, part, {points()} FROM (SELECT * FROM uq ORDER BY part, at LIMIT (SELECT need FROM cnt))"
+uq AS (SELECT part, "at", f FROM un WHERE k NOT IN (SELECT list_transform(f, lambda x: round_even(x, 10) + 0.0) FROM emb) QUALIFY row_number() OVER (PARTITION BY k ORDER BY part, "at") = 1)"""
+_final = f'SELECT row_number() OVER (ORDER BY part, "at") - 1 AS draw, part, {points()} FROM (SELECT * FROM uq ORDER BY part, "at" LIMIT (SELECT need FROM cnt))'
 ORACLE_SQL["outward_ladder"] = f"""WITH {emb()}, {_ladder}, {_scored},
-be AS (SELECT *, row_number() OVER (ORDER BY score DESC, pos) AS at FROM cs QUALIFY at <= (SELECT n_ladder FROM nb)),
-pa AS (SELECT 0 AS part, draw AS at, f FROM syn WHERE draw < (SELECT need FROM cnt) - (SELECT count(*) FROM be) UNION ALL SELECT 1, at, f FROM be), {_unique} {_final}"""
-ORACLE_SQL["dedup_vs_real"] = f"""WITH {emb()}, pa AS (SELECT 0 AS part, range AS at, CASE WHEN range % 3 = 0 THEN f ELSE list_transform(f, lambda x: x + 0.5) END AS f
+be AS (SELECT *, row_number() OVER (ORDER BY score DESC, pos) AS "at" FROM cs QUALIFY "at" <= (SELECT n_ladder FROM nb)),
+pa AS (SELECT 0 AS part, draw AS "at", f FROM syn WHERE draw < (SELECT need FROM cnt) - (SELECT count(*) FROM be) UNION ALL SELECT 1, "at", f FROM be), {_unique} {_final}"""
+_docs = emb().replace(emb().split("\nmi AS")[0], """emb AS (SELECT doc_id AS row_id, [n_chars::DOUBLE, len(regexp_split_to_array(trim(text), ' +'))::DOUBLE,
+  CASE lang WHEN 'de' THEN 0.0 WHEN 'en' THEN 1.0 WHEN 'es' THEN 2.0 ELSE 3.0 END::DOUBLE] AS f, toxic AS y FROM documents JOIN labels USING (doc_id)),""")
+ORACLE_SQL["outward_ladder_backfill"] = ORACLE_SQL["outward_ladder"].replace(emb(), _docs).replace(_final, f"SELECT part, count(*) AS n, CAST(min(len(f)) AS INTEGER) AS dims FROM ({_final.replace('SELECT row_number', 'SELECT f, row_number')}) GROUP BY part")
+ORACLE_SQL["dedup_vs_real"] = f"""WITH {emb()}, pa AS (SELECT 0 AS part, range AS "at", CASE WHEN range % 3 = 0 THEN f ELSE list_transform(f, lambda x: x + 0.5) END AS f
   FROM range((SELECT need FROM cnt)) JOIN mi ON mi.i = CAST(floor({u(42, 'ros', 'range')} * (SELECT n1 FROM cnt)) AS BIGINT)), {_unique} {_final}"""
 
 # --- scores ---

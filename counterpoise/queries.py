@@ -97,7 +97,7 @@ def fold_balance(spark, d):
     li = R.table(spark, d, "lineitem")
     row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], F.date_format("l_shipdate", "yyyy-MM-dd")))
     df = li.select(row.alias("row_id"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).cast("int").alias("y"))
-    return R.folds(df, 5).groupBy("fold").agg(F.count_if("y = 0").alias("n0"), F.count_if("y = 1").alias("n1"))
+    return R.folds(df, 5).groupBy("fold").agg(F.count_if(F.expr("y = 0")).alias("n0"), F.count_if(F.expr("y = 1")).alias("n1"))
 
 
 @query
