@@ -178,6 +178,7 @@ def test_html_article():
     found = html.blocks(PAGE)
     assert html.text_of(found, []) == "Head & line\nFirst block with space. Same block\nSecond <b> é\nItem"
     assert html.blocks("") == [] and html.blocks("<") == [("<", False)] and html.blocks("a < b <p>c") == [("a < b", False), ("c", False)]
+    assert html.blocks("<head><title>t</title><body><p class='ad'>Buy<p>Text") == [("Text", False)]
     assert html.blocks('<a title="x>y">k</a>' + "<p " + "a='" * 2000) is not None
 
 
