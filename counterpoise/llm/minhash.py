@@ -3,7 +3,7 @@
 Every text becomes the set of its word shingles, hashed to 64 bits.  ``BANDS * ROWS`` universal hash minima make its
 signature; texts that agree in all rows of a band meet in a bucket.  Texts with equal sets are one class from the start.
 Buckets give candidate links in two ways that never list all pairs of a bucket: first each member is linked with the
-bucket's leader, then, only where a bucket still spans several components, its members are compared by signature
+bucket's leader, then, only where a bucket still spans several components, its members are compared
 across components inside one task (large buckets are first split by their members' other bands).  Every candidate that
 passes the signature is confirmed on the full shingle sets, and components come from alternating large-star and
 small-star rounds.
@@ -145,12 +145,8 @@ def estimate(edges: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long, share double")
 
 
-def confirm(edges: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The edges (a, b) whose full shingle sets are similar enough.
-
-    Only the ends' texts are shingled again; each set travels once for each edge it is on.
-    """
-    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-ends")
+def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, shingles (sorted 64-bit hashes) of the documents in the written one-column table ``ids``."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -159,7 +155,17 @@ def confirm(edges: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
                 p = part.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array([shingles(t.as_py(), words, size).tobytes() for t in p.column(1)], pa.binary())], names=["doc_id", "shingles"])
 
-    full = cut(docs.select("doc_id", "text").join(few(ends), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "minhash-sets", compression="none")
+    own = docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi")
+    return cut(own.mapInArrow(sets, "doc_id long, shingles binary"), "minhash-sets", compression="none")
+
+
+def confirm(edges: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The edges (a, b) whose full shingle sets are similar enough.
+
+    Only the ends' texts are shingled again; each set travels once for each edge it is on.
+    """
+    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-ends")
+    full = full_sets(ends, docs, size)
     both = edges.join(full.toDF("b", "xb"), "b").join(full.toDF("a", "xa"), "a")
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,50 +210,79 @@ def components(edges: DataFrame) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v"), F.col("v")).distinct())
 
 
-def across(members: DataFrame, signed: DataFrame, least: float, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
-    """a, b: pairs that share a bucket and whose signatures agree enough, from different components only.
+def across(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float, num: int, den: int, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+    """a, b: links between different components of a bucket, enough of them to join all components that any link joins.
 
-    members: bucket, id, comp.  Buckets of more than ``split`` members are regrouped by the members' other bands (similar
-    sets that share one band share some other one with the same near certainty that the bands have at all); groups that
-    are still larger are compared block by block.
+    members: bucket, id, comp.  Members of a bucket are compared inside one task, by signature and then by their sets (32
+    bits of each shingle hash, with some slack for clashes), and only what passes leaves it.  A pair that shares
+    several bands is looked at under the first one.  Buckets of more than ``split`` members are regrouped by the
+    members' other bands (sets that share one band share another with the same near certainty that the bands
+    have at all); groups that are still larger are compared block by block.
     """
-    w = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket", "n")
-    held = cut(members.join(w, "bucket"), "minhash-open")
-    small = held.filter(F.col("n") <= split).select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "id", "comp")
-    groups = small
+    spans = lambda df, by: df.groupBy(*by).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(*by, "n")
+    held = cut(members.join(spans(members, ["bucket"]), "bucket"), "minhash-open")
+    none = F.lit(None).cast("long")
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "id", "comp"]
+    groups = held.filter(F.col("n") <= split).select("bucket", none.alias("other"), *whole)
     if held.filter(F.col("n") > split).limit(1).count():
-        big = held.filter(F.col("n") > split).join(signed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("other")), "id").filter("other <> bucket")
-        big = big.select(F.xxhash64("bucket", "other").alias("bucket"), "id", "comp")
-        w = big.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket", "n")
-        big = big.join(w, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        fine = big.filter(F.col("n") <= split).select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "id", "comp")
+        big = held.filter(F.col("n") > split).drop("n").join(nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("other")), "id").filter("other <> bucket")
+        big = big.join(spans(big, ["bucket", "other"]), ["bucket", "other"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         rest = big.filter(F.col("n") > split).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         # Each block meets each other one and itself in a group named by both.
         rest = rest.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rest = rest.select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "comp")
-        groups = small.union(fine).union(rest)
-    sig = signed.select(F.col("doc_id").alias("id"), "signature")
+        rest = rest.select("bucket", "other", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "comp")
+        groups = groups.union(big.filter(F.col("n") <= split).select("bucket", "other", *whole)).union(rest)
+    sets = full_sets(cut(held.select(F.col("id").alias("doc_id")).distinct(), "minhash-open-ids"), docs, size)
+
+    def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            half = [np.unique(np.frombuffer(x.as_py(), np.uint64).astype(np.uint32)).tobytes() for x in p.column(1)]
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(half, pa.binary())], names=["id", "half"])
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        pdf = pdf.sort_values(["part", "comp", "id"])
+        pdf = pdf.drop_duplicates("id").sort_values(["part", "comp", "id"])
+        i, j, bucket, other = (pdf[c].iloc[0] for c in ("i", "j", "bucket", "other"))
         ids, comp, part = (pdf[c].to_numpy() for c in ("id", "comp", "part"))
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(ids), -1)
+        bands = np.stack(pdf["bands"].to_list())
+        half = [np.frombuffer(x, np.uint32) for x in pdf["half"]]
         need = int(np.ceil(least * sig.shape[1]))
+        names, code, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        root = list(range(len(names)))
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        largest = int(sizes.argmax())
+        out = []
         # The largest component need not be compared with itself: the others are compared with everything.
-        names, sizes = np.unique(comp, return_counts=True)
-        out_a, out_b = [], []
-        for r in np.flatnonzero(comp != names[sizes.argmax()]):
-            other = (comp != comp[r]) & ((part != part[r]) if i != j else True)
-            other &= (ids > ids[r]) | (comp == names[sizes.argmax()])
-            o = np.flatnonzero(other)
-            hit = o[(sig[o] == sig[r]).sum(axis=1) >= need]
-            out_a += [ids[r]] * len(hit)
-            out_b += ids[hit].tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    pairs = groups.join(sig, "id").groupBy("bucket", "i", "j").applyInPandas(task, "a long, b long")
+        for r in np.flatnonzero(code != largest):
+            o = np.flatnonzero((code != code[r]) & ((part != part[r]) if i != j else True) & ((ids > ids[r]) | (code == largest)))
+            o = o[(sig[o] == sig[r]).sum(axis=1) >= need]
+            if not len(o):
+                continue
+            same = bands[o] == bands[r]
+            first = same.argmax(axis=1)
+            mine = bands[r][first] == bucket
+            if not pd.isna(other):
+                same[np.arange(len(o)), first] = False
+                mine &= same.any(axis=1) & (bands[r][same.argmax(axis=1)] == other)
+            for t in o[mine]:
+                a, b = find(int(code[r])), find(int(code[t]))
+                if a == b:
+                    continue
+                n = len(np.intersect1d(half[r], half[t], assume_unique=True))
+                if den * (n + 3) >= num * (len(half[r]) + len(half[t]) - n - 3):
+                    out.append((ids[r], ids[t]))
+                    if den * (n - 3) >= num * (len(half[r]) + len(half[t]) - n + 3):  # beyond doubt a link
+                        root[a] = b
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    sig = nodes.select(F.col("doc_id").alias("id"), "signature", "bands").join(sets.mapInArrow(short, "id long, half binary"), "id")
+    pairs = groups.join(sig, "id").groupBy("bucket", "other", "i", "j").applyInPandas(task, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -264,11 +299,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     classes = cut(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     nodes = cut(signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("doc_id", "signature", "bands"), "minhash-nodes", compression="none")
     placed = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    # The leader has the least hash, the same order in every bucket: a few nodes lead most of the buckets of a group.
-    rank = F.xxhash64(F.lit(SEED), "id")
-    lead = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", rank).alias("leader")).filter("n > 1").select("bucket", "leader")
-    shared = cut(placed.join(lead, "bucket"), "minhash-buckets")
-    stars = shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(placed.join(sizes, "bucket"), "minhash-buckets")
+    # The leader is the member that meets most others over all its buckets: the text that the copies of a group were made from
+    # meets more of them than they meet of each other, so one round of stars joins most of the group.
+    central = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    lead = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", F.xxhash64(F.lit(SEED), "id"))).alias("leader"))
+    stars = shared.join(lead, "bucket").filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     likely = cut(estimate(stars, nodes, floor), "minhash-likely")
     # First each node's likeliest leader alone, then what still joins different components.
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("share", F.negative("a"))).alias("a")).select("a", "b")
@@ -284,7 +321,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
         links = cut(links.union(confirm(second, docs, size, num, den)), "minhash-links")
         found = cut(components(links), "minhash-components")
     members = label(shared.select("bucket", "id"), "id", "comp")
-    third = cut(across(members, nodes, floor, split, block).join(second, ["a", "b"], "left_anti"), "minhash-third")
+    third = cut(across(members, nodes, docs, size, floor, num, den, split, block), "minhash-third")
     if third.limit(1).count():
         links = cut(links.union(confirm(third, docs, size, num, den)), "minhash-links")
         found = cut(components(links), "minhash-components")
