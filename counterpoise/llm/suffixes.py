@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import cut, table
 
 LENGTH, GRAM = 50, 20
-RUN_BYTES, BUCKET_ANCHORS, PART_BYTES = 4 << 20, 1 << 20, 12 << 20
+RUN_BYTES, BUCKET_ANCHORS, PART_BYTES = 2 << 20, 1 << 20, 6 << 20
 PAD = 255  # no UTF-8 text has this byte
 LAST = 2**63 - 1  # stands for a null doc_id: it is after every other
 WORD = 8  # bytes that are compared at once
@@ -168,7 +168,7 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
                     continue
                 many = np.maximum.reduceat(doc_id, first) > np.minimum.reduceat(doc_id, first)
                 h = h[first] | many.astype(np.uint64)
-                b = ((h >> np.uint64(1)) * np.uint64(buckets) >> np.uint64(47)).astype(np.int64) if buckets < 1 << 16 else (h % np.uint64(buckets)).astype(np.int64)
+                b = ((h >> np.uint64(1)) * np.uint64(buckets) >> np.uint64(47)).astype(np.int64) if buckets < 1 << 16 else ((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
                 o = np.argsort(b, kind="stable")
                 h, b = h[o], b[o]
                 cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -176,20 +176,19 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32)), pa.array(np.full(len(cuts), run, np.int64)), pa.array([_pack6(h[i:j]) for i, j in zip(cuts, ends)], pa.binary())], names=["bucket", "run", "hashes"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [_unpack6(x) for x in pdf["hashes"]]
-        every = np.concatenate(lists)
+        every = _unpack6(b"".join(pdf["hashes"]))
+        ends = np.cumsum([len(x) // 6 for x in pdf["hashes"]])
         key = every & ~np.uint64(1)
         o = np.argsort(key, kind="stable")
         k = key[o]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         times = np.diff(np.r_[first, len(k)])
         many = np.maximum.reduceat(every[o] & np.uint64(1), first) > 0
-        good = k[first][(times > 1) | many]
+        good = np.empty(len(key), bool)
+        good[o] = np.repeat((times > 1) | many, times)
         out = []
-        for run, x in zip(pdf["run"], lists):
-            x = x & ~np.uint64(1)
-            hit = x[np.isin(x, good)] if len(good) else x[:0]
-            if len(hit):
+        for run, i, j in zip(pdf["run"], np.r_[0, ends[:-1]], ends):
+            if len(hit := key[i:j][good[i:j]]):
                 out.append((run, _pack6(hit)))
         return pd.DataFrame(out, columns=["run", "shared"])
 
