@@ -8,6 +8,8 @@ within their length, take them by arithmetic: what the driver sees is a histogra
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,34 +30,60 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _class(kinds: str) -> str:
+    """The characters of these general categories below U+0250 as the inside of a regular expression class."""
+    return "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] in kinds)
+
+
+def _known() -> str:
+    small = [c for c in map(chr, range(0x250)) if (c < "\x1c" or " " <= c < "\x7f" or c >= "\xa0") and all(x < "\u0250" for x in c.lower())]
+    return "".join(map(re.escape, small))
+
+
+#: Texts of other characters are left to the tokenizer as a whole.  These are in composed form, stay so in lower case, and
+#: their categories are old enough to be the same everywhere.
+OTHER = re.compile(f"[^{_known()}\u2010-\u2027\u20ac]")
+#: The tokenizer's own division of lower-case text: letters, single digits, endings after an apostrophe, the rest.
+PARTS = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \xa0{_class('LN')}]+")
+
+
 class WordIds(dict):
-    """The ids of white-space-free strings as little-endian 32-bit bytes.
+    """Ids as little-endian 32-bit bytes, from those of the words, digits and signs that the tokenizer divides a text into.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its parts; they are kept for
-    at most ``most`` parts of up to 64 characters.
+    It never merges across these parts, so each is encoded once and kept, for at most about ``most`` parts; the new
+    parts of a text are encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 300_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        # The same model for parts that are already divided and in lower case.
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        found = self.ids(part)
-        if len(part) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = found
-        return found
+    def learn(self, parts: list[str]) -> None:
+        e = self.plain.encode(" ".join(parts), add_special_tokens=False)
+        ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        cuts = np.searchsorted(word, np.arange(len(parts) + 1))
+        if len(word) and word[-1] + 1 == len(parts) and (np.diff(cuts) > 0).all():
+            data = ids.tobytes()
+            self.update((p, data[4 * i : 4 * j]) for p, i, j in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist()))
+        else:
+            self.update((p, self.ids(p)) for p in parts)
 
     def text(self, text: str) -> bytes:
-        # str.split() also splits at four control characters that the tokenizer does not take for white space.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if "<|" in text or OTHER.search(text):
             return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        parts = PARTS.findall(text.lower())
+        if len(self) > self.most:
+            self.clear()
+        if new := [p for p in set(parts) if p not in self]:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, parts))
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
