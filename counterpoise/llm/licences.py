@@ -23,7 +23,9 @@ SPELLINGS = (
     ("merchantibility", "merchantability"), ("“", '"'), ("”", '"'), ("’", "'"), ("version 2.0", "v2.0"),
     ("version 3", "v3"), ("version 2", "v2"),
 )
-PUNCTUATION = r"[^\p{L}\p{N}]+"
+PUNCTUATION = r"[^\p{L}\p{N}\n]+"
+BREAK = r"\n *(?:\n *)+"  # lines without letters and digits, once punctuation is gone
+SPACES = r"[ \n]+"
 
 # Texts and notices as their stewards publish them.
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -50,21 +52,25 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form of a text; null stays null."""
+    """Canonical form of a text with its line breaks; null stays null.  ``flat`` makes one line of any part of it."""
     t = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, PUNCTUATION, " "))
+    return F.regexp_replace(t, PUNCTUATION, " ")
+
+
+def flat(part: Column) -> Column:
+    return F.trim(F.regexp_replace(part, SPACES, " "))
 
 
 def canonical_text(text: str) -> str:
-    """``canonical`` for one Python string (the known texts, tests)."""
+    """The flat canonical form of one Python string (the known texts, tests)."""
     import regex
 
     t = re.sub(COPYRIGHT, r"\1", text.translate(str.maketrans(UPPER, LOWER)))
     for a, b in SPELLINGS:
         t = t.replace(a, b)
-    return regex.sub(PUNCTUATION, " ", t).strip(" ")
+    return re.sub(SPACES, " ", regex.sub(PUNCTUATION, " ", t)).strip(" ")
 
 
 def known_digests() -> dict[str, str]:
@@ -75,21 +81,28 @@ def known_digests() -> dict[str, str]:
 def scan(docs: DataFrame, known: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_license, unit_licenses, n_units for every row of ``docs``.
 
-    text_license: the licence whose digest the whole text has, else null.  unit_licenses: the licences of its
+    text_license: the licence whose digest the whole text has, else null (of rows with equal keys, the last by name).  unit_licenses: the licences of its
     blocks and lines, sorted and comma-joined ('' if none); n_units: how many distinct blocks and lines matched.
     Null or empty texts match nothing.  Rows with equal keys get the union of what these rows hold; a null key
-    gets an empty report of units.  Other columns are ignored.
+    gets an empty report.  Other columns are ignored.
     """
     spark = docs.sparkSession
     known = known_digests() if known is None else known
     list_ = spark.createDataFrame(list(known.items()) or [("-", "-")], "digest string, license string")
     list_ = F.broadcast(list_) if len(known) <= 100_000 else list_
-    t = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    units = t.select("_key", F.explode(F.array_distinct(F.concat(F.split("_text", "\n"), F.split("_text", "\n[ \t\r]*\n")))).alias("_unit")).filter("_unit <> ''")
-    found = units.select("_key", F.sha2(canonical(F.col("_unit")), 256).alias("digest")).join(list_, "digest")
-    found = found.groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("unit_licenses"), F.count_distinct("digest").alias("n_units"))
-    whole = t.select("_key", F.sha2(canonical(F.col("_text")), 256).alias("digest")).join(list_.withColumnRenamed("license", "text_license"), "digest", "left")
-    return whole.join(found, "_key", "left").select(F.col("_key").alias(key), "text_license", F.coalesce("unit_licenses", F.lit("")).alias("unit_licenses"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
+    # Each text is brought into form once; whole text, blocks and lines are parts of that form.
+    t = docs.filter(F.length(text) > 0).select(F.col(key).alias("_key"), canonical(F.col(text)).alias("_text"))
+    parts = F.array_distinct(F.transform(F.concat(F.split("_text", "\n"), F.split("_text", BREAK)), flat))
+    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), flat(F.col("_text")).alias("part"))), F.transform(parts, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))
+    rows = t.select("_key", F.explode(units).alias("u")).select("_key", "u.whole", F.col("u.part").alias("part")).filter("part <> ''")
+    hits = rows.select("_key", "whole", F.sha2("part", 256).alias("digest")).join(list_, "digest")
+    found = hits.groupBy("_key").agg(
+        F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("unit_licenses"),
+        F.count_distinct(F.when(~F.col("whole"), F.col("digest"))).alias("n_units"),
+    )
+    keys = docs.select(F.col(key).alias("_key"))
+    return keys.join(found, "_key", "left").select(F.col("_key").alias(key), "text_license", F.coalesce("unit_licenses", F.lit("")).alias("unit_licenses"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,19 +116,22 @@ def _sql() -> str:
         x = f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, '\\1', 'g')"
         for a, b in SPELLINGS:
             x = f"replace({x}, {quote(a)}, {quote(b)})"
-        return f"sha256(trim(regexp_replace({x}, {quote(PUNCTUATION)}, ' ', 'g'), ' '))"
+        return f"regexp_replace({x}, {quote(PUNCTUATION)}, ' ', 'g')"
 
     known = ", ".join(f"({quote(d)}, {quote(i)})" for d, i in known_digests().items())
     return f"""
 WITH known(digest, license) AS (VALUES {known}),
-t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT DISTINCT doc_id, unit FROM (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM t
-  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS unit FROM t) WHERE unit <> ''),
-f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS unit_licenses, count(DISTINCT digest) AS n_units
-  FROM (SELECT doc_id, {form('unit')} AS digest FROM u) JOIN known USING (digest) GROUP BY doc_id)
-SELECT t.doc_id, k.license AS text_license, coalesce(f.unit_licenses, '') AS unit_licenses, coalesce(f.n_units, 0) AS n_units
-FROM t LEFT JOIN known k ON k.digest = {form('t.text')} LEFT JOIN f ON f.doc_id = t.doc_id
+t AS (SELECT doc_id, {form('text')} AS text FROM documents WHERE length(text) > 0),
+u AS (SELECT DISTINCT doc_id, whole, trim(regexp_replace(part, {quote(SPACES)}, ' ', 'g'), ' ') AS part FROM (
+  SELECT doc_id, true AS whole, text AS part FROM t
+  UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM t
+  UNION ALL SELECT doc_id, false, unnest(regexp_split_to_array(text, {quote(BREAK)})) FROM t)),
+f AS (SELECT doc_id, max(license) FILTER (WHERE whole) AS text_license,
+    string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE NOT whole) AS unit_licenses,
+    count(DISTINCT digest) FILTER (WHERE NOT whole) AS n_units
+  FROM (SELECT doc_id, whole, sha256(part) AS digest FROM u WHERE part <> '') JOIN known USING (digest) GROUP BY doc_id)
+SELECT d.doc_id, f.text_license, coalesce(f.unit_licenses, '') AS unit_licenses, coalesce(f.n_units, 0) AS n_units
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id
 """
 
 
