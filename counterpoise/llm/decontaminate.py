@@ -1,13 +1,11 @@
-"""Benchmark decontamination with SimHash windows, in DataFrame functions only.
-
-A benchmark item is searched for in windows of its own length in words.  Each window and item has a 64-bit SimHash of its
-words.  The fingerprints are indexed in ``BLOCKS`` blocks: two fingerprints within ``RADIUS`` bits differ by at most
-``RADIUS // BLOCKS`` bits in some block, so an item listed under every block value within that distance is met by
-every window within the radius.  Met pairs are confirmed exactly: shingles weighted by how often they occur, the sum
-of the smaller weights against the sum of the larger.
-
-A window without any five-word shingle of the benchmark has similarity 0 to every item, so windows are cut only where such
-a shingle stands: at every start that puts it where the benchmark has it.
+"""Benchmark decontamination, in DataFrame functions only.
+
+A benchmark item is searched for in windows of its own length in words.  Windows are compared exactly: shingles weighted
+by how often they occur, the sum of the smaller weights against the sum of the larger.  A window can only be similar
+enough if it holds enough of the item's shingles, so windows are cut only where the shared shingles of document and item
+stand densely enough; as a window moves, its share grows only where a shared shingle enters at its end, so the first best
+window ends with one or starts the document.  All these windows are compared; the 64-bit SimHash of window and item is
+reported (``hamming``) and decides nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from .common import cut, table
 
 SHINGLE, NUM, DEN = 5, 75, 100
 BITS, BLOCKS, RADIUS = 64, 4, 15
-SMALL_SHINGLES, SMALL_ITEMS = 2_000_000, 2_000  # rows of at most about 40 bytes; items whose block lists may be broadcast
+SMALL_SHINGLES = 2_000_000  # rows of at most about 40 bytes
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,7 +63,7 @@ def _lane_sum(h: Column, j: int, mask: int) -> Column:
 
 
 def near_masks(width: int = BITS // BLOCKS, most: int = RADIUS // BLOCKS) -> list[int]:
-    """All ``width``-bit masks with at most ``most`` bits set."""
+    """All ``width``-bit masks with at most ``most`` bits set: what an index of fingerprints lists an item under."""
     return [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(width), n)]
 
 
@@ -88,7 +86,7 @@ def _repeated(g: Column) -> Column:
     return F.array_distinct(F.filter(g, lambda x, i: (i > 0) & (F.get(g, i - 1) == x)))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, num: int = NUM, den: int = DEN) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, item_id, start_word, n_words, shared, total, hamming: for each document and item with a window similar
     enough (den * shared >= num * total, the weights of intersection and union), the best such window, ties to the first.
 
@@ -102,8 +100,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, n
     if not about["n"]:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, shared int, total int, hamming int")
     lanes = 4 if about["most"] < 1 << 16 else 2
-    # Where the benchmark has a shingle: item length and place.
-    places = items.select("n_words", F.posexplode("g").alias("q", "gram")).distinct()
+    places = items.select("item_id", "n_words", F.explode("g").alias("gram")).distinct()
     places = F.broadcast(places) if about["g"] <= SMALL_SHINGLES else places
     short = sorted(r["n_words"] for r in items.filter(F.col("n_words") < SHINGLE).select("n_words").distinct().collect())  # at most four values
 
@@ -111,45 +108,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, n
     hits = _hits(h, places, SHINGLE, F.col("n_words") >= SHINGLE)
     for n in short:
         hits = hits.union(_hits(h, places, n, F.col("n_words") == n))
-    windows = cut(hits.distinct().groupBy("doc_id", "n").agg(F.collect_set(F.struct("n_words", "start")).alias("windows")), "bench-windows")
+    # Rows of one doc_id and length are told apart below, where each is compared: together they only have more windows.
+    dense = hits.groupBy("doc_id", "n", "item_id", "n_words").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    dense = dense.withColumn("starts", _starts(num, den)).filter(F.size("starts") > 0)
+    windows = cut(dense.groupBy("doc_id", "n").agg(F.collect_list(F.struct("item_id", "n_words", "starts")).alias("windows")), "bench-windows")
     # Texts are read again for the documents with windows; n tells rows of one doc_id apart by their length.
     again = docs.select("doc_id", "text").join(windows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", hashes(words(F.col("text"))).alias("h")).withColumn("n", F.size("h"))
-    cutout = again.join(windows, ["doc_id", "n"]).select("doc_id", "h", F.explode("windows").alias("w"))
-    cutout = cutout.select("doc_id", F.col("w.n_words").alias("n_words"), F.col("w.start").alias("start_word"), F.slice("h", F.col("w.start") + 1, F.col("w.n_words")).alias("h"))
-    sims = cut(cutout.withColumn("sim", simhash(F.col("h"), lanes)).withColumn("g", F.array_sort(grams(F.col("h")))).drop("h"), "bench-sims")
-
-    # The multi-index: items under all near block values, windows under their own.
-    per = radius // BLOCKS
-    listed = items.select("item_id", "n_words", simhash(F.col("h"), lanes).alias("item_sim"))
-    masks = F.split(F.lit(",".join(map(str, near_masks(most=per)))), ",").cast("array<bigint>")
-    listed = listed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("mask", F.explode(masks))
-    listed = listed.select("item_id", "n_words", "item_sim", "b", _block(F.col("item_sim"), F.col("b")).bitwiseXOR(F.col("mask")).alias("value"))
-    listed = F.broadcast(listed) if about["n"] <= SMALL_ITEMS else listed
-    seen = sims.select("sim", "n_words").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("value", _block(F.col("sim"), F.col("b")))
-    met = seen.join(listed, ["n_words", "b", "value"]).withColumn("hamming", F.bit_count(F.col("sim").bitwiseXOR(F.col("item_sim"))).cast("int")).filter(F.col("hamming") <= radius)
-    met = cut(met.select("sim", "n_words", "item_id", "hamming").distinct(), "bench-met")
-
-    full = items.select("item_id", F.array_sort("g").alias("ig"))
-    pairs = sims.join(met, ["sim", "n_words"]).join(full, "item_id")
+    cutout = again.join(windows, ["doc_id", "n"]).select("doc_id", "h", F.explode("windows").alias("w")).select("doc_id", "h", "w.item_id", "w.n_words", F.explode("w.starts").alias("start_word"))
+    cutout = cutout.withColumn("h", F.slice("h", F.col("start_word") + 1, F.col("n_words")))
+    cutout = cut(cutout.withColumn("g", F.array_sort(grams(F.col("h")))), "bench-cutouts")
+
+    full = items.select("item_id", "n_words", F.array_sort("g").alias("ig"), simhash(F.col("h"), lanes).alias("item_sim"))
+    pairs = cutout.join(full, ["item_id", "n_words"])
     pairs = pairs.withColumn("dg", _repeated(F.col("g"))).withColumn("di", _repeated(F.col("ig")))
     pairs = pairs.withColumn("shared", _multiset(F.col("g"), F.col("ig"), F.col("dg"), F.col("di")))
     pairs = pairs.withColumn("total", F.size("g") + F.size("ig") - F.col("shared")).filter(F.col("shared") * den >= F.col("total") * num)
     # The best window of each pair: one row for each group and task before anything is dealt out.
-    order = F.struct((F.col("shared") / F.col("total")).alias("share"), (-F.col("start_word")).alias("at"), "n_words", "shared", "total", "hamming")
+    order = F.struct((F.col("shared") / F.col("total")).alias("share"), (-F.col("start_word")).alias("at"), "n_words", "shared", "total", "item_sim", "h")
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(order).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.at")).cast("int").alias("start_word"), F.col("m.n_words").cast("int").alias("n_words"), F.col("m.shared").cast("int").alias("shared"), F.col("m.total").cast("int").alias("total"), F.col("m.hamming").cast("int").alias("hamming"))
+    hamming = F.bit_count(simhash(F.col("m.h"), lanes).bitwiseXOR(F.col("m.item_sim"))).cast("int")
+    return best.select("doc_id", "item_id", (-F.col("m.at")).cast("int").alias("start_word"), F.col("m.n_words").cast("int").alias("n_words"), F.col("m.shared").cast("int").alias("shared"), F.col("m.total").cast("int").alias("total"), hamming.alias("hamming"))
 
 
-def _block(sim: Column, b: Column) -> Column:
-    width = BITS // BLOCKS
-    value = F.when(b == 0, sim)
-    for k in range(1, BLOCKS):
-        value = value.when(b == k, F.shiftrightunsigned(sim, k * width))
-    return value.bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+def _starts(num: int, den: int) -> Column:
+    """From ps, the ascending places of shared shingles: the starts of the windows that end with one and hold enough of them."""
+    full = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))  # shingles of the item
+    own = F.least(full, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1)))  # and of a window
+    need = F.ceil((own + full) * num / F.lit(num + den)).cast("int")
+    ends = F.filter("ps", lambda p, i: (i + 1 >= need) & (F.get("ps", i + 1 - need) > p - full))
+    return F.array_distinct(F.transform(ends, lambda p: F.greatest(F.lit(0), p - full + 1)))
 
 
 def _hits(h: DataFrame, places: DataFrame, size: int, which: Column) -> DataFrame:
-    """doc_id, n, n_words, start: the windows of item length that put a shared shingle where the item has it."""
+    """doc_id, n, item_id, n_words, p: the places in each document of the shingles of each item."""
     if size == SHINGLE:
         g = F.when(F.size("h") >= size, grams(F.col("h"), size))
     else:
@@ -157,9 +148,7 @@ def _hits(h: DataFrame, places: DataFrame, size: int, which: Column) -> DataFram
         one = lambda i: F.xxhash64(F.array_join(F.transform(F.slice("h", i + 1, F.lit(size)), lambda x: x.cast("string")), " "))
         g = F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - size, F.lit(0))), one))
     at = h.select("doc_id", F.size("h").alias("n"), F.posexplode(g).alias("p", "gram"))
-    met = at.join(places.filter(which), "gram")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("n_words")))
-    return met.select("doc_id", "n", F.col("n_words"), start.alias("start"))
+    return at.join(places.filter(which), "gram").select("doc_id", "n", "item_id", "n_words", "p")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -147,6 +147,27 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_needs_no_near_fingerprint(spark):
+    """Passages near the bound count, whatever their SimHash differs in and wherever their parts stand."""
+    rng, items, texts = random.Random(11), [], []
+    new = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    for i in range(410):
+        w = new(18 if i < 400 else 60)
+        k = (len(w) - 4) // 7
+        if i < 400:
+            passage = new(k) + w[k:] if i % 2 else w[:-k] + new(k)
+        else:  # the halves changed places: no half is where the item has it
+            passage = w[30:] + w[:30]
+        items.append((i, " ".join(w)))
+        texts.append((i, " ".join([*new(40), *passage, *new(40)])))
+    found = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for t, i in zip(texts, items):
+        want |= best_windows([t], [i])
+    assert len(want) == 410 and {(r["doc_id"], r["item_id"]): (r["shared"], r["total"]) for r in found} == want
+    assert any(r["hamming"] > decontaminate.RADIUS for r in found)
+
+
 def test_block_index_meets_every_pair_within_the_radius():
     rng = random.Random(2)
     masks, width = set(decontaminate.near_masks()), decontaminate.BITS // decontaminate.BLOCKS
