@@ -126,13 +126,28 @@ def _price(gain: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse of a square matrix by elimination with row pivots."""
+    m = len(a)
+    both = np.hstack([a.astype(float), np.eye(m)])
+    for c in range(m):
+        p = c + int(np.abs(both[c:, c]).argmax())
+        both[[c, p]] = both[[p, c]]
+        both[c] /= both[c, c]
+        rest = both[:, c].copy()
+        rest[c] = 0.0
+        both -= rest[:, None] * both[c]
+    return both[:, m:]
+
+
 def column_generation(demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use each, covering ``demand[u - 1]`` items of u units exactly.
 
     Revised simplex on the set-partitioning form: the first basis has a pattern for each length, duals price
     columns, and the search ends when the knapsack shows (Farley's bound) that no solution uses ``gap`` less.
     Fractions are rounded down and what remains, at most one pattern's items for each length, is filled
-    largest first.
+    largest first.  Products are summed by numpy itself: threaded BLAS and LAPACK calls can hang in a process that has
+    forked, as a Spark driver has.
     """
     used = np.flatnonzero(demand)
     if not len(used):
@@ -141,7 +156,8 @@ def column_generation(demand: np.ndarray, room: int, gap: float = 1e-3, rounds:
     m = len(units)
     columns = np.diag(room // units).astype(float)
     inverse = np.diag(1.0 / (room // units))
-    x = inverse @ d
+    times = lambda a, v: (a * v).sum(axis=1)
+    x = times(inverse, d)
     for turn in range(rounds):
         duals = inverse.sum(axis=0)
         gain = np.full(int(units[-1]), -1.0)
@@ -150,7 +166,7 @@ def column_generation(demand: np.ndarray, room: int, gap: float = 1e-3, rounds:
         if value <= 1 + max(gap, 1e-9):
             break
         new = pattern[units - 1].astype(float)
-        step = inverse @ new
+        step = times(inverse, new)
         ok = step > 1e-9
         ratio = np.where(ok, x / np.where(ok, step, 1.0), np.inf)
         out = int(ratio.argmin())
@@ -163,8 +179,8 @@ def column_generation(demand: np.ndarray, room: int, gap: float = 1e-3, rounds:
         inverse[out] = row
         columns[:, out] = new
         if turn % 200 == 199:  # rounding errors would add up
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ d, 0.0)
+            inverse = inverted(columns)
+            x = np.maximum(times(inverse, d), 0.0)
     counts = np.floor(x + 1e-6).astype(np.int64)
     plans, left = [], demand[used].astype(np.int64).copy()
     for p in range(m):
