@@ -4,13 +4,15 @@ Candidate spans come from regular expressions: the base kinds (email, ip, card,
 wider kinds, which are proposals.  For each candidate several labellers vote yes, no or abstain: the form of the text
 (regex labellers), lists of words and provider names (gazetteer labellers) and the words before it (context
 labellers).  Expectation maximisation over the counts of vote patterns estimates how reliable each labeller is, the
-posteriors train a logistic span classifier on the votes, and the classifier decides which proposals are spans.
+posteriors train a logistic span classifier on the votes and on traits of the span (length, separators, edges, the word
+before it), and the classifier decides which proposals are spans.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, table
@@ -65,7 +67,30 @@ GIVEN = r"\b(?:James|John|Robert|Michael|William|David|Mary|Patricia|Jennifer|Li
 YES, NO, SKIP = 1, 0, 2
 LABELLERS = ("form", "checksum", "gazetteer", "context", "warning", "edges")
 BEFORE = 40  # code points of context
-EMPTY = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+CHUNK = 512  # elements of an array that are folded at once
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside a lambda a column expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def chunks(x: Column) -> Column:
+    """An array in slices of CHUNK elements."""
+    n = F.size(x)
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / CHUNK).cast("int") - 1, F.lit(0))), lambda b: F.slice(x, b * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(n > 0, cuts).otherwise(F.slice(cuts, 1, 0))
+
+
+def sums_before(x: Column) -> Column:
+    """For each element of an integer array the sum of those before it.
+
+    Appending copies an array, so the elements of a slice are summed first and then the slices.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got"))
+    add = lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["got"], a["at"]).alias("got"))
+    whole = lambda parts, starts: F.flatten(F.transform(parts, lambda p, i: F.transform(p["got"], lambda v: v + F.get(starts, i))))
+    return let(F.transform(chunks(x), lambda c: F.aggregate(c, zero, add)), lambda parts: let(F.aggregate(F.transform(parts, lambda p: p["at"]), zero, add, lambda a: a["got"]), lambda starts: whole(parts, starts)))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -73,17 +98,19 @@ def found(text: Column, pattern: str) -> Column:
 
     The pieces between the matches and the matches are read by the same pattern; running sums of lengths give places.
     """
-    pieces, matches = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("p"), F.get(pieces, i + 1).alias("q")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("got"))
+    both = F.struct(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+    def spans(b: Column) -> Column:
+        steps = F.transform(b["m"], lambda m, i: F.length(F.get(b["p"], i)) + F.length(m))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("start"), e.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(BEFORE)).alias("before"), F.left(x["q"], F.lit(1)).alias("after"))
-        return F.struct(e.alias("at"), F.array_append(acc["got"], one).alias("got"))
+        def span(m: Column, i: Column, at: Column) -> Column:
+            p = F.get(b["p"], i)
+            s = F.get(at, i) + F.length(p)
+            return F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match"), F.right(p, F.lit(BEFORE)).alias("before"), F.left(F.get(b["p"], i + 1), F.lit(1)).alias("after"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["got"])
+        return let(let(steps, sums_before), lambda at: F.transform(b["m"], lambda m, i: span(m, i, at)))
+
+    return let(both, spans)
 
 
 def digits(m: Column) -> Column:
@@ -156,20 +183,33 @@ def iban(m: Column) -> Column:
     return rest == 1
 
 
-SPAN = "array<struct<start:int,k:int,end:int,base:boolean,votes:string>>"
+SPAN = "array<struct<start:int,k:int,end:int,base:boolean,votes:string,traits:string>>"
+#: How many values each trait of a span has: its length, its separators, its first and last character, the word before it.
+TRAITS = (8, 8, 8, 16)
+
+
+def traits(x: Column) -> Column:
+    """What the span classifier sees beside the votes: a hexadecimal digit for each of ``TRAITS``."""
+    m = x["match"]
+    long = F.least(F.floor(F.length(m) / 4), F.lit(7))
+    has = lambda form, bit: F.when(m.rlike(form), bit).otherwise(0)
+    between = has(" ", 1) + has("-", 2) + has(r"\.", 4)
+    edge = has("^[0-9]", 1) + has("^[A-Z(+]", 2) + has("[0-9]$", 4)
+    word = F.pmod(F.xxhash64(F.lower(F.regexp_extract(x["before"], r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1))), F.lit(TRAITS[-1]))
+    return F.concat(*[F.lower(F.hex(t.cast("long"))) for t in (long, between, edge, word)])
 
 
 def _spans_of(t: Column, k: int, kind: str) -> Column:
     def span(x: Column) -> Column:
         votes = F.concat(*[v.cast("string") for v in vote(kind, x)])
-        return F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind in BASE).alias("base"), votes.alias("votes"))
+        return F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind in BASE).alias("base"), votes.alias("votes"), traits(x).alias("traits"))
 
     got = found(t, (BASE | PROPOSED)[kind])
     return F.transform(F.filter(got, lambda x: valid(kind, x["match"])) if kind in BASE else got, span)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _spans: array<struct<start, k, end, base, votes>>, k being the kind's place in KINDS."""
+    """``docs`` with _spans: array<struct<start, k, end, base, votes, traits>>, k being the kind's place in KINDS."""
     t = F.coalesce(F.col(text), F.lit(""))
     groups = [F.when(NEED[kind](t), _spans_of(t, k, kind)).otherwise(F.array().cast(SPAN)) for k, kind in enumerate(KINDS)]
     return docs.withColumn("_spans", F.array_sort(F.concat(*groups)))
@@ -201,30 +241,46 @@ def posterior(votes: str, prior: float, rates: list[list[list[float]]]) -> float
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(patterns: list[tuple[str, float]], target: list[float], rounds: int = 300, l2: float = 1e-2) -> list[float]:
-    """Weights of a logistic classifier: a bias, then for each labeller one for yes and one for no."""
-    feats = [[1.0, *(float(v[j] == str(c)) for j in range(len(LABELLERS)) for c in (YES, NO))] for v, _ in patterns]
-    total = sum(c for _, c in patterns) or 1.0
-    w = [0.0] * (1 + 2 * len(LABELLERS))
+def features(votes: str, held: str) -> list[int]:
+    """The places of a span's features in the weights: a bias, yes and no of each labeller, the value of each trait."""
+    out = [0, *(1 + 2 * j + (v == str(NO)) for j, v in enumerate(votes) if v != str(SKIP))]
+    at = 1 + 2 * len(LABELLERS)
+    for size, t in zip(TRAITS, held):
+        out.append(at + int(t, 16))
+        at += size
+    return out
+
+
+def train(groups: list[tuple[str, str, float]], target: list[float], rounds: int = 300, l2: float = 1e-2) -> list[float]:
+    """Weights of a logistic classifier over ``features`` for (votes, traits, count) with soft targets."""
+    at = [features(v, t) for v, t, _ in groups]
+    rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    cols = np.array([i for a in at for i in a], int)
+    y, c = np.array(target), np.array([n for *_, n in groups])
+    c = c / max(c.sum(), 1.0)
+    w = np.zeros(1 + 2 * len(LABELLERS) + sum(TRAITS))
     for _ in range(rounds):
-        g = [l2 * x for x in w]
-        for f, y, (_, c) in zip(feats, target, patterns):
-            e = (1 / (1 + math.exp(-sum(a * b for a, b in zip(w, f)))) - y) * c / total
-            for i, x in enumerate(f):
-                if x:
-                    g[i] += e * x
-        w = [a - 2.0 * b for a, b in zip(w, g)]
-    return w
+        e = (1 / (1 + np.exp(-np.bincount(rows, w[cols], len(at)))) - y) * c
+        w -= 1.0 * (np.bincount(cols, e[rows], len(w)) + l2 * w)
+    return w.tolist()
 
 
 def fit(spans: DataFrame) -> dict[int, list[float]]:
-    """Classifier weights for each kind, from a table with _spans."""
-    counts = spans.select(F.explode("_spans").alias("s")).groupBy("s.k", "s.votes").count().collect()
+    """Classifier weights for each kind, from a table with _spans.
+
+    What comes to the driver are counts of (kind, votes, traits): at most 3 ** 6 * 8 * 8 * 8 * 16 for each kind, however
+    many spans there are.
+    """
+    counts = spans.select(F.explode("_spans").alias("s")).groupBy("s.k", "s.votes", "s.traits").count().collect()
     models = {}
-    for k in {r["k"] for r in counts}:
-        patterns = [(r["votes"], float(r["count"])) for r in sorted(counts, key=lambda r: r["votes"]) if r["k"] == k]
-        prior, rates = estimate(patterns)
-        models[k] = train(patterns, [posterior(v, prior, rates) for v, _ in patterns])
+    for k in sorted({r["k"] for r in counts}):
+        groups = sorted((r["votes"], r["traits"], float(r["count"])) for r in counts if r["k"] == k)
+        patterns: dict[str, float] = {}
+        for v, _, n in groups:
+            patterns[v] = patterns.get(v, 0.0) + n
+        prior, rates = estimate(list(patterns.items()))
+        belief = {v: posterior(v, prior, rates) for v in patterns}
+        models[k] = train(groups, [belief[v] for v, *_ in groups])
     return models
 
 
@@ -233,18 +289,23 @@ def accepted(s: Column, models: dict[int, list[float]], least: float = 0.5) -> C
     keep = s["base"]
     bound = math.log(least / (1 - least))
     for k, w in models.items():
-        z = F.lit(w[0])
+        if KINDS[k] in BASE:
+            continue
+        z, at = F.lit(w[0]), 1 + 2 * len(LABELLERS)
         for j in range(len(LABELLERS)):
             c = F.substring(s["votes"], j + 1, 1)
             z = z + F.when(c == str(YES), w[1 + 2 * j]).when(c == str(NO), w[2 + 2 * j]).otherwise(0.0)
+        for j, size in enumerate(TRAITS):
+            z = z + F.get(F.array(*[F.lit(x) for x in w[at : at + size]]), F.conv(F.substring(s["traits"], j + 1, 1), 16, 10).cast("int"))
+            at += size
         keep = keep | ((s["k"] == k) & (z >= bound))
     return keep
 
 
 def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with spans: array<struct<start, k, end, base, votes>> sorted by start and kind.
+    """``docs`` with spans: array<struct<start, k, end, base, votes, traits>> sorted by start and kind.
 
-    Null and empty texts have no spans; repeated rows each get theirs; an existing column named spans is replaced.
+    Null and empty texts have no spans; repeated rows each get theirs; existing columns named spans and _spans are replaced.
     The candidates are written once, so the text is searched once however many passes the model makes.
     """
     docs = docs.drop("spans", "_spans")
@@ -254,17 +315,24 @@ def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every span of ``detect``'s result by its kind in brackets; overlapping spans become one."""
+    """Replace every span of ``detect``'s result by its kind in brackets; overlapping spans become one.
+
+    The spans are worked off in slices, each of which takes its part from the head of the text that is left, so the
+    time grows with the text and not with its square.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), t.alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def slice_(a: Column, c: Column) -> Column:
+        def step(b: Column, s: Column) -> Column:
+            more = F.concat(b["out"], F.substring(a["rest"], b["at"] - a["at"] + 1, s["start"] - b["at"]), F.get(names, s["k"]))
+            return F.struct(F.greatest(b["at"], s["end"]).alias("at"), F.when(s["start"] < b["at"], b["out"]).otherwise(more).alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        cut_ = F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["k"]))
-        inside = s["start"] < a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(cut_).alias("out"))
+        done = F.aggregate(c, F.struct(a["at"].alias("at"), F.lit("").alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.substring(a["rest"], d["at"] - a["at"] + 1, F.length(a["rest"])).alias("rest"), F.array_append(a["out"], d["out"]).alias("out")))
 
-    whole = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    whole = F.aggregate(chunks(F.col("spans")), start, slice_, lambda a: F.concat(F.array_join(a["out"], ""), a["rest"]))
     return found.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(t))
 
 

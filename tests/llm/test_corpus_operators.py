@@ -84,6 +84,29 @@ def test_pii_models_find_more_and_redact(spark):
         assert "@" not in r["text"] and "[EMAIL]" in r["text"]
 
 
+def test_pii_takes_time_linear_in_the_spans(spark):
+    """Many more spans than a slice holds, with a text between them that is longer than a code unit a character."""
+    n = 5 * pii.CHUNK + 3
+    text = "\U0001f600 ".join(f"a{i}@b{i % 7}.org" for i in range(n))
+    found = pii.detect(spark.createDataFrame([(1, text, 7), (2, text[:200], 8)], "doc_id long, text string, _spans int"))
+    rows = {r["doc_id"]: r for r in pii.report(found).collect()}
+    for i, t in ((1, text), (2, text[:200])):
+        want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(FORMS["email"], t))
+        assert rows[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and rows[i]["spans"] == want
+    assert {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}[1] == "\U0001f600 ".join(["[EMAIL]"] * n)
+
+
+def test_pii_added_spans(spark):
+    """Spans of the wider kinds in a corpus that holds plain and doubtful ones: the plain stay, overlaps become one mark."""
+    rows = [(i, f"My ssn is 219-09-{1000 + i}. Call 415-555-{1000 + i} or write to jo{i} [at] mail [dot] org.") for i in range(40)]
+    rows += [(100 + i, f"Account IBAN DE89370400440532013000 of Dr. Anna Lee, item {i}.") for i in range(40)]
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(pii.KINDS[s["k"]], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in found.collect()}
+    assert ("national_id", "219-09-1003") in got[3] and ("local_phone", "415-555-1003") in got[3] and ("hidden_email", "jo3 [at] mail [dot] org") in got[3]
+    assert ("iban", "DE89370400440532013000") in got[105] and ("person", "Dr. Anna Lee") in got[105]
+    assert all("219-09" not in r["text"] and "DE89" not in r["text"] for r in pii.redact(found).collect())
+
+
 def test_pii_runs_no_python(docs):
     plan = pii.candidates(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
