@@ -413,6 +413,23 @@ def test_threshold_algorithm(shape):
         assert [(-a, b) for a, b in shard.top(v[r], 10, int(ids[r]))] == want
 
 
+def test_scores_are_exact_for_wide_values(spark):
+    """Products past 2**53 and past 2**63, by values of the query as well as of the shard; hits of another shard are kept."""
+    rng = np.random.default_rng(3)
+    for low, high in ((18, 40), (40, 62), (5, 62)):
+        v = rng.integers(-(2**low), 2**low, (300, 8))
+        shard, ids = topk.Shard(np.arange(300), v), list(range(300))
+        for q in rng.integers(-(2**high), 2**high, (5, 8)):
+            s = [sum(int(a) * int(b) for a, b in zip(x, q)) for x in v]
+            want = sorted(zip(s, ids), key=lambda x: (-x[0], x[1]))
+            assert shard.top(q, 10, -1) == want[:10]
+            assert topk.Shard(np.arange(150, 300), v[150:]).top(q, 10, 7, topk.Shard(np.arange(150), v[:150]).top(q, 10, 7)) == [x for x in want if x[1] != 7][:10]
+    rows = [(i, [float(2**30) * (i + 1), 1.0]) for i in range(30)]
+    q = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in topk.search(q.filter("vec_id = 0"), q, shard_rows=8).orderBy("rank").collect()]
+    assert got == [(i, 2**63 - 1) for i in range(29, 19, -1)]
+
+
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(2)
     v = np.zeros((20_000, 3), np.int64)
