@@ -220,7 +220,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_html_article():
     found = html.blocks(PAGE)
-    assert html.text_of(found, []) == "Head & line\nFirst block with space. Same block\nSecond <b> é\nItem"
+    assert "\n".join(t for t, inside in found if inside) == "Head & line\nFirst block with space. Same block\nSecond <b> é\nItem"
     assert html.blocks("") == [] and html.blocks("<") == [("<", False)] and html.blocks("a < b <p>c") == [("a < b", False), ("c", False)]
     assert html.blocks("<head><title>t</title><body><p class='ad'>Buy<p>Text") == [("Text", False)]
     assert html.blocks('<a title="x>y">k</a>' + "<p " + "a='" * 2000) is not None
@@ -243,16 +243,43 @@ def test_common_lines():
         assert len(got) == lcs(a, b) and all(x in rest for x in got)
 
 
-def test_html_differencing(spark):
+def test_html_parts_of_an_article_stay():
+    """Headings and parts named after what they are about are text; parts named as adverts, comments or shares are not."""
+    body = '<h2 id="related-work">Related work</h2><h2 id="comments">On comments</h2><section id="social-history"><p>History</p></section><p class="ad-hoc">Ad hoc</p><div class="search-results form">Found</div>'
+    away = '<div class="ad">Buy</div><div class="x comments">Said</div><div id="disqus_thread">More</div><ul class="share-buttons"><li>Post</ul>'
+    found = html.blocks(f"<article><h1>T</h1>{body}{away}</article>")
+    assert [t for t, _ in found] == ["T", "Related work", "On comments", "History", "Ad hoc", "Found"]
+    assert [t for t, _ in html.blocks(f'<div class="top-menu">M</div><div>{body}</div>{away}')] == ["Related work", "On comments", "History", "Ad hoc"]
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 200])
+def test_html_differencing(spark, partitions):
     page = lambda body: f"<div>Top line</div><div>{body}</div><div>Bottom line</div>"
     rows = [(1, "http://a.org/x/1", page("One")), (2, "http://a.org/x/2?q=1", page("Two")), (3, "http://b.org/1", page("Alone")), (4, None, None), (5, "::bad[", ""), (6, "http://a.org/x/3", PAGE), (6, "http://a.org/x/3", PAGE)]
+    rows += [(100 + i, f"http://c.org/{i:03d}", page(f"Text {i}")) for i in range(40)]
+    rows += [(200, "http://c.org/007?print=1", page("Text 7")), (201, "http://c.org/020/", page("Text 20 changed"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df.coalesce(1)).collect()]
-    assert len(got) == 7 and (4, "", 0) in got and sum(g[0] == 6 and g[1].startswith("Head") for g in got) == 2
-    assert (3, "Top line\nAlone\nBottom line", 26) in got
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df.coalesce(1)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(got) == len(rows) and (4, "", 0) in got and (5, "", 0) in got and sum(g[0] == 6 and g[1].startswith("Head") for g in got) == 2
+    assert (3, "Top line\nAlone\nBottom line", 26) in got and (1, "One", 3) in got
+    # The other neighbour of the second page is an article: nothing outside of it is shared.
+    assert (2, "Top line\nTwo\nBottom line", 24) in got
+    assert all((100 + i, f"Text {i}", len(f"Text {i}")) in got for i in range(40)) and (200, "Text 7", 6) in got and (201, "Text 20 changed", 15) in got
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_are_no_template():
+    """What one neighbour alone shares may be the text of a copy."""
+    a, copy, other = (["Top", *body, "Bottom"] for body in (["One", "Two"], ["One", "Two", "Three"], ["Else"]))
+    assert html.differenced(a, [copy, other]) == ["One", "Two"] and html.differenced(a, [other]) == ["One", "Two"]
+    assert html.differenced(a, []) == a and html.differenced([], [a]) == []
+
+
 # --- packing ---
 
 
