@@ -3,8 +3,8 @@
 Every text becomes the set of its word shingles, hashed to 64 bits.  ``BANDS * ROWS`` universal hash minima make its
 signature; texts that agree in all rows of a band meet in a bucket.  Texts with equal sets are one class from the start.
 Buckets give candidate links in two ways that never list all pairs of a bucket: first each member is linked with the
-bucket's leader, then, only where a bucket still spans several components, its members are compared
-across components inside one task (large buckets are first split by their members' other bands).  Every candidate that
+bucket's leader, then, only where a bucket still spans several components, the members outside of its largest one are
+compared with all others inside one task, in large buckets block by block.  Every candidate that
 passes the signature is confirmed on the full shingle sets, and components come from alternating large-star and
 small-star rounds.
 """
@@ -24,7 +24,8 @@ from .common import cut, table
 SHINGLE, BANDS, ROWS, SEED = 5, 40, 5, 20240501
 NUM, DEN = 75, 100  # linked: DEN * intersection >= NUM * union
 SLACK = 0.13  # a signature may fall short of the threshold by this (more than four standard deviations)
-SPLIT, BLOCK = 2000, 1000
+SPLIT, BLOCK = 2000, 1000  # members of a bucket that are compared in one piece, and of a block of a larger one
+BLOCK_SHINGLES = 4_000_000  # and shingles of a block, at 8 bytes
 SMALL_IDS = 4_000_000  # ids of 8 bytes that may be broadcast
 
 MIX1, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,21 +160,25 @@ def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return cut(own.mapInArrow(sets, "doc_id long, shingles binary"), "minhash-sets", compression="none")
 
 
-def confirm(edges: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The edges (a, b) whose full shingle sets are similar enough.
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
 
-    Only the ends' texts are shingled again; each set travels once for each edge it is on.
-    """
-    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-ends")
-    full = full_sets(ends, docs, size)
-    both = edges.join(full.toDF("b", "xb"), "b").join(full.toDF("a", "xa"), "a")
+
+def confirm(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The edges (a, b) whose full shingle sets are similar enough; each set travels once for each edge it is on."""
+    both = edges.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a")
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ok = []
             for i, (xa, xb) in enumerate(zip(part.column(2), part.column(3))):
-                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (xa, xb))
-                n = len(np.intersect1d(a, b, assume_unique=True))
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (xa, xb))
+                n = common(a, b)
                 if n and den * n >= num * (len(a) + len(b) - n):
                     ok.append(i)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(ok, pa.int64())) for c in (part.column(0), part.column(1))], names=["a", "b"])
@@ -210,44 +215,40 @@ def components(edges: DataFrame) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v"), F.col("v")).distinct())
 
 
-def across(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float, num: int, den: int, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+def across(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, num: int, den: int, split: int = SPLIT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """a, b: links between different components of a bucket, enough of them to join all components that any link joins.
 
-    members: bucket, id, comp.  Members of a bucket are compared inside one task, by signature and then by their sets (32
-    bits of each shingle hash, with some slack for clashes), and only what passes leaves it.  A pair that shares
-    several bands is looked at under the first one.  Buckets of more than ``split`` members are regrouped by the
-    members' other bands (sets that share one band share another with the same near certainty that the bands
-    have at all); groups that are still larger are compared block by block.
+    members: bucket, id, comp, n_shingles.  Members outside of a bucket's largest component are compared with all others, by
+    signature and then by their full sets, inside one task, and only links leave it.  A pair that shares several
+    bands is looked at under the first one.  In a bucket of more than ``split`` members (or so many shingles that
+    they fill two blocks) blocks of the former meet blocks of all.
     """
-    spans = lambda df, by: df.groupBy(*by).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(*by, "n")
-    held = cut(members.join(spans(members, ["bucket"]), "bucket"), "minhash-open")
-    none = F.lit(None).cast("long")
-    whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "id", "comp"]
-    groups = held.filter(F.col("n") <= split).select("bucket", none.alias("other"), *whole)
-    if held.filter(F.col("n") > split).limit(1).count():
-        big = held.filter(F.col("n") > split).drop("n").join(nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("other")), "id").filter("other <> bucket")
-        big = big.join(spans(big, ["bucket", "other"]), ["bucket", "other"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        rest = big.filter(F.col("n") > split).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        # Each block meets each other one and itself in a group named by both.
-        rest = rest.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rest = rest.select("bucket", "other", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "comp")
-        groups = groups.union(big.filter(F.col("n") <= split).select("bucket", "other", *whole)).union(rest)
-    sets = full_sets(cut(held.select(F.col("id").alias("doc_id")).distinct(), "minhash-open-ids"), docs, size)
-
-    def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            half = [np.unique(np.frombuffer(x.as_py(), np.uint64).astype(np.uint32)).tobytes() for x in p.column(1)]
-            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(half, pa.binary())], names=["id", "half"])
+    per = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    top = F.max_by(F.struct("comp", "n", "w"), F.struct("n", "comp")).alias("top")
+    about = per.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("w").alias("w"), top).filter("comps > 1")
+    cuts = lambda n, w: F.ceil(F.greatest(n / block, w / block_shingles)).cast("int")
+    large = (F.col("n") > split) | (F.col("w") > 2 * block_shingles)
+    about = about.select("bucket", F.col("top.comp").alias("main"), large.alias("large"), cuts(F.col("n"), F.col("w")).alias("alls"), cuts(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rests"))
+    held = cut(members.join(about, "bucket").withColumn("rest", F.col("comp") != F.col("main")), "minhash-open")
+    # side: 0 is compared with others, 1 others are compared with it, 2 both.
+    zero = F.lit(0)
+    groups = held.filter("not large").select("bucket", zero.alias("i"), zero.alias("j"), F.when(F.col("rest"), 2).otherwise(1).alias("side"), "id", "comp", "rest")
+    hot = held.filter("large")
+    if hot.limit(1).count():
+        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        others = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+        groups = groups.union(hot.filter("rest").select("bucket", part("rests").alias("i"), others("alls").alias("j"), zero.alias("side"), "id", "comp", "rest"))
+        groups = groups.union(hot.select("bucket", others("rests").alias("i"), part("alls").alias("j"), F.lit(1).alias("side"), "id", "comp", "rest"))
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values(["part", "comp", "id"])
-        i, j, bucket, other = (pdf[c].iloc[0] for c in ("i", "j", "bucket", "other"))
-        ids, comp, part = (pdf[c].to_numpy() for c in ("id", "comp", "part"))
+        pdf = pdf.sort_values(["comp", "id", "side"], kind="stable")
+        bucket = pdf["bucket"].iloc[0]
+        ids, side, rest = (pdf[c].to_numpy() for c in ("id", "side", "rest"))
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(ids), -1)
         bands = np.stack(pdf["bands"].to_list())
-        half = [np.frombuffer(x, np.uint32) for x in pdf["half"]]
+        full = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         need = int(np.ceil(least * sig.shape[1]))
-        names, code, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        names, code = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
         root = list(range(len(names)))
 
         def find(c: int) -> int:
@@ -256,37 +257,30 @@ def across(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, lea
                 c = root[c]
             return c
 
-        largest = int(sizes.argmax())
         out = []
-        # The largest component need not be compared with itself: the others are compared with everything.
-        for r in np.flatnonzero(code != largest):
-            o = np.flatnonzero((code != code[r]) & ((part != part[r]) if i != j else True) & ((ids > ids[r]) | (code == largest)))
+        for r in np.flatnonzero(side != 1):
+            # Of two members outside of the largest component the one with the smaller id is compared with the other.
+            o = np.flatnonzero((code != code[r]) & (side != 0) & (~rest | (ids > ids[r])))
             o = o[(sig[o] == sig[r]).sum(axis=1) >= need]
             if not len(o):
                 continue
-            same = bands[o] == bands[r]
-            first = same.argmax(axis=1)
-            mine = bands[r][first] == bucket
-            if not pd.isna(other):
-                same[np.arange(len(o)), first] = False
-                mine &= same.any(axis=1) & (bands[r][same.argmax(axis=1)] == other)
+            mine = bands[r][(bands[o] == bands[r]).argmax(axis=1)] == bucket
             for t in o[mine]:
                 a, b = find(int(code[r])), find(int(code[t]))
                 if a == b:
                     continue
-                n = len(np.intersect1d(half[r], half[t], assume_unique=True))
-                if den * (n + 3) >= num * (len(half[r]) + len(half[t]) - n - 3):
+                n = common(full[r], full[t])
+                if den * n >= num * (len(full[r]) + len(full[t]) - n):
                     out.append((ids[r], ids[t]))
-                    if den * (n - 3) >= num * (len(half[r]) + len(half[t]) - n + 3):  # beyond doubt a link
-                        root[a] = b
+                    root[a] = b
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    sig = nodes.select(F.col("doc_id").alias("id"), "signature", "bands").join(sets.mapInArrow(short, "id long, half binary"), "id")
-    pairs = groups.join(sig, "id").groupBy("bucket", "other", "i", "j").applyInPandas(task, "a long, b long")
+    known = nodes.select(F.col("doc_id").alias("id"), "signature", "bands").join(sets.toDF("id", "shingles"), "id")
+    pairs = groups.join(known, "id").groupBy("bucket", "i", "j").applyInPandas(task, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, num: int = NUM, den: int = DEN, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, num: int = NUM, den: int = DEN, split: int = SPLIT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null, empty and blank texts have no shingles and are linked with nothing.  Rows with equal doc_id
@@ -297,7 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     signed = cut(sign(docs, minima, size), "minhash-signed")
     # One node for each distinct set: the smallest doc_id that has it.
     classes = cut(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    nodes = cut(signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("doc_id", "signature", "bands"), "minhash-nodes", compression="none")
+    nodes = cut(signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("doc_id", "n_shingles", "signature", "bands"), "minhash-nodes", compression="none")
     placed = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(placed.join(sizes, "bucket"), "minhash-buckets")
@@ -306,10 +300,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     central = shared.groupBy("id").agg(F.sum("n").alias("met"))
     lead = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", F.xxhash64(F.lit(SEED), "id"))).alias("leader"))
     stars = shared.join(lead, "bucket").filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    # The sets of all that is in some bucket with another, shingled once.
+    sets = full_sets(cut(shared.select(F.col("id").alias("doc_id")).distinct(), "minhash-met"), docs, size)
     likely = cut(estimate(stars, nodes, floor), "minhash-likely")
     # First each node's likeliest leader alone, then what still joins different components.
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("share", F.negative("a"))).alias("a")).select("a", "b")
-    links = cut(confirm(cut(first, "minhash-first"), docs, size, num, den), "minhash-links")
+    links = cut(confirm(first, sets, num, den), "minhash-links")
     found = cut(components(links), "minhash-components")
 
     def label(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -318,12 +314,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     second = label(label(likely.select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
     second = cut(second, "minhash-second")
     if second.limit(1).count():
-        links = cut(links.union(confirm(second, docs, size, num, den)), "minhash-links")
+        links = cut(links.union(confirm(second, sets, num, den)), "minhash-links")
         found = cut(components(links), "minhash-components")
-    members = label(shared.select("bucket", "id"), "id", "comp")
-    third = cut(across(members, nodes, docs, size, floor, num, den, split, block), "minhash-third")
+    members = label(shared.select("bucket", "id"), "id", "comp").join(nodes.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
+    third = cut(across(members, nodes, sets, floor, num, den, split, block, block_shingles), "minhash-third")
     if third.limit(1).count():
-        links = cut(links.union(confirm(third, docs, size, num, den)), "minhash-links")
+        links = cut(links.union(third), "minhash-links")
         found = cut(components(links), "minhash-components")
     named = label(classes, "rep", "component_id")
     at = signed.select("doc_id", "n_shingles", "set_key").join(named.select("set_key", "component_id"), "set_key", "left")

@@ -387,7 +387,7 @@ def test_near_duplicates(spark, docs, empty, texts):
         near.append((1000 + i, " ".join(w)))
     df = docs.select("doc_id", "text", "kept").union(spark.createDataFrame([(i, t, True) for i, t in near], "doc_id long, text string, kept boolean"))
     want = linked([(i, t) for i, t in [*texts, *near] if i is not None])
-    for options in ({}, {"split": 4, "block": 2}):
+    for options in ({}, {"split": 4, "block": 2}, {"block_shingles": 200}):
         got = minhash.near_duplicates(df, **options).collect()
         assert len(got) == df.count()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
@@ -413,6 +413,29 @@ def test_links_within_buckets_need_no_leader(spark, monkeypatch):
     assert got == linked(rows)
 
 
+def test_links_in_large_buckets_need_one_band(spark, monkeypatch):
+    """Pairs that meet in one band alone are found in buckets above every bound as below."""
+    rng = random.Random(12)
+    from conftest_llm import prose
+
+    rows = []
+    for g in range(6):
+        base = prose(60, 40 + g).split()
+        for i in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(99)}"
+            rows.append((100 * g + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "estimate", lambda e, s, least: spark.createDataFrame([], "a long, b long, share double"))
+    for options in ({}, {"split": 2, "block": 1}):
+        # One band of one row: whoever meets, meets there and nowhere else.
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, bands=1, rows=1, num=55, **options).collect()}
+        if not options:
+            want = got
+    assert got == want and len(set(want.values())) < len(rows)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
