@@ -7,8 +7,12 @@ hash are anchors: equal windows have their anchors at equal places, and about on
 exchange of anchor hashes keeps those that occur in two documents.  The suffixes at these anchors, with the bytes before
 them, are sorted within runs of a few megabytes, front-coded (each entry holds only what differs from the one
 before), dealt out by anchor, and merged by a loser tree that carries the length of the prefix each head
-shares with the last entry put out: heads are compared from there on, never from the start.  In merged order equal
-contexts are neighbours, so each window's first document is found within its anchor's entries.
+shares with the last entry put out: heads are compared from there on, never from the start.  These lengths tell which
+neighbours in merged order share the bytes of a window after the anchor, a second order of the bytes before the anchors
+tells the same for the other part, and so each window's first document is found by comparing bytes alone.
+
+An anchor that occurs too often for one task leaves this path: each of its windows is a key of its own, runs reduce
+their occurrences to the least doc_id, and a plain aggregation finds the least of all.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ RUN_BYTES, BUCKET_ANCHORS, PART_BYTES = 2 << 20, 1 << 20, 6 << 20
 PAD = 255  # no UTF-8 text has this byte
 LAST = 2**63 - 1  # stands for a null doc_id: it is after every other
 WORD = 8  # bytes that are compared at once
-C1, C2, C3, C4, C5, C6 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-TABLE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
+MANY, HOT = 64, 1_000_000  # occurrences in a run that flag an anchor; estimated occurrences beyond which it leaves the merge
+C1, C2, C3, C4 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
+C5, C6 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+TABLE = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,14 +45,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every GRAM (20) bytes: built from those of 1, 2, 4, 8 and 16."""
+def gram_order(data: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of every GRAM (20) bytes, built from those of 1, 2, 4, 8 and 16: anchors are chosen by it."""
     h = TABLE[data]
     h = h[:-1] * C1 + h[1:]
-    four = _mix(h[:-2] * C2 + h[2:])
+    four = h[:-2] * C2 + h[2:]
+    four ^= four >> np.uint32(15)
     h = four[:-4] * C3 + four[4:]
-    h = _mix(h[:-8] * C4 + h[8:])
-    return _mix(h[:-4] * C6 + four[16:])
+    h = h[:-8] * C4 + h[8:]
+    h ^= h >> np.uint32(13)
+    h = h[:-4] * C2 + four[16:]
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def gram_names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the GRAM bytes at each of some places."""
+    b = np.zeros((len(at), 24), np.uint8)
+    b[:, :GRAM] = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at]
+    w = b.view("<u8")
+    h = _mix(w[:, 0] * C6 + np.uint64(1))
+    h = _mix((h + w[:, 1]) * C6)
+    return _mix((h + w[:, 2]) * C6)
 
 
 def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -63,13 +83,13 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     n = length - GRAM + 1
     if len(data) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = gram_hashes(data)
+    h = gram_order(data)
     low = _slide(h, n, np.minimum)
     # Of the windows over a position none has a larger least hash than the position's own.
-    edge = np.zeros(n - 1, np.uint64)
+    edge = np.zeros(n - 1, h.dtype)
     high = _slide(np.concatenate([edge, low, edge]), n, np.maximum)
     at = np.flatnonzero(high == h)
-    return at, h[at]
+    return at, gram_names(data, at)
 
 
 RUN = "run long, ids binary, sizes binary, data binary"
@@ -134,8 +154,8 @@ class Run:
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    """47 bits of a hash above a free bit."""
-    return (h >> np.uint64(16)) & ~np.uint64(1)
+    """46 bits of a hash above two free bits."""
+    return (h >> np.uint64(16)) & ~np.uint64(3)
 
 
 def _pack6(x: np.ndarray) -> bytes:
@@ -148,11 +168,13 @@ def _unpack6(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
-    """run, shared: the run's anchor hashes (47 bits) that occur in at least two documents anywhere.
+def shared_anchors(packed: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """run, shared, hot: the run's anchor hashes (46 bits) that occur in at least two documents anywhere, with the low bit
+    set in those that occur too often, and how many of these there are.
 
-    Within a run equal hashes are one entry, with a bit for whether two of its documents have it; false positives of the
-    shortened hash cost work, nothing else.
+    Within a run equal hashes are one entry, with a bit for whether two of its documents have it and one for whether it
+    occurs more than MANY times; a run without the latter counts for 8 occurrences, one with it for 1,024.  False
+    positives of the shortened hash cost work, nothing else.
     """
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +188,10 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, int)
                 if not len(first):
                     continue
-                many = np.maximum.reduceat(doc_id, first) > np.minimum.reduceat(doc_id, first)
-                h = h[first] | many.astype(np.uint64)
-                b = ((h >> np.uint64(1)) * np.uint64(buckets) >> np.uint64(47)).astype(np.int64) if buckets < 1 << 16 else ((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                two = np.maximum.reduceat(doc_id, first) > np.minimum.reduceat(doc_id, first)
+                many = np.diff(np.r_[first, len(h)]) > MANY
+                h = h[first] | two.astype(np.uint64) | many.astype(np.uint64) << np.uint64(1)
+                b = ((h >> np.uint64(2)) * np.uint64(buckets) >> np.uint64(46)).astype(np.int64) if buckets < 1 << 18 else ((h >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
                 o = np.argsort(b, kind="stable")
                 h, b = h[o], b[o]
                 cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -178,22 +201,24 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         every = _unpack6(b"".join(pdf["hashes"]))
         ends = np.cumsum([len(x) // 6 for x in pdf["hashes"]])
-        key = every & ~np.uint64(1)
+        key = every & ~np.uint64(3)
         o = np.argsort(key, kind="stable")
         k = key[o]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         times = np.diff(np.r_[first, len(k)])
-        many = np.maximum.reduceat(every[o] & np.uint64(1), first) > 0
-        good = np.empty(len(key), bool)
-        good[o] = np.repeat((times > 1) | many, times)
+        two = np.maximum.reduceat(every[o] & np.uint64(1), first) > 0
+        weight = np.add.reduceat(np.where(every[o] & np.uint64(2), 1024, 8), first)
+        good, often = np.empty(len(key), bool), np.empty(len(key), bool)
+        good[o] = np.repeat((times > 1) | two, times)
+        often[o] = np.repeat(weight > hot, times)
         out = []
         for run, i, j in zip(pdf["run"], np.r_[0, ends[:-1]], ends):
-            if len(hit := key[i:j][good[i:j]]):
-                out.append((run, _pack6(hit)))
-        return pd.DataFrame(out, columns=["run", "shared"])
+            if len(hit := (key[i:j] | often[i:j])[good[i:j]]):
+                out.append((run, _pack6(hit), int((hit & np.uint64(1)).sum())))
+        return pd.DataFrame(out, columns=["run", "shared", "hot"])
 
     at = packed.mapInArrow(task, "bucket int, run long, hashes binary")
-    return at.groupBy("bucket").applyInPandas(meet, "run long, shared binary")
+    return at.groupBy("bucket").applyInPandas(meet, "run long, shared binary, hot long")
 
 
 def contexts(r: Run, at: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -240,7 +265,7 @@ def sorted_runs(packed: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
                 r = Run(ids, sizes, data)
                 at, h, doc = r.anchors()
                 good = np.concatenate([_unpack6(x) for x in lists])
-                ok = np.isin(_short(h), good)
+                ok = np.isin(_short(h), good)  # too frequent ones are listed with their low bit set
                 at, h, doc = at[ok], h[ok], doc[ok]
                 if not len(at):
                     continue
@@ -263,12 +288,12 @@ def sorted_runs(packed: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     return packed.join(lists, "run").select("run", "ids", "sizes", "data", "lists").mapInArrow(task, SORTED)
 
 
-def merge(runs_: list[list[tuple[int, ...]]], shared: list[list[int]], width: int) -> tuple[list[tuple[int, int]], list[bool]]:
+def merge(runs_: list[list[tuple[int, ...]]], shared: list[list[int]], width: int) -> tuple[list[tuple[int, int]], list[int]]:
     """Merge sorted runs of equally wide word tuples by a loser tree.
 
     shared[r][i]: how many words entry i of run r shares with entry i - 1.  Each head carries how many words it shares with the
     last entry put out; the head that shares more is the smaller one, and equal heads are compared from there on.
-    Returns (run, place) in order, and whether each differs from the entry before it.
+    Returns (run, place) in order, and how many words each shares with the entry before it.
     """
     k = 1
     while k < max(len(runs_), 1):
@@ -295,12 +320,12 @@ def merge(runs_: list[list[tuple[int, ...]]], shared: list[list[int]], width: in
         return a
 
     order: list[tuple[int, int]] = []
-    fresh: list[bool] = []
+    carried: list[int] = []
     top = build(1) if k > 1 else (0 if none and heads[0] is not None else none)
     while top != none:
         i = place[top]
         order.append((top, i))
-        fresh.append(known[top] < width or len(order) == 1)
+        carried.append(known[top] if len(order) > 1 else 0)
         slot, i = top, i + 1
         if i < len(runs_[top]):
             place[top], heads[top], known[top] = i, runs_[top][i], shared[top][i]
@@ -325,35 +350,48 @@ def merge(runs_: list[list[tuple[int, ...]]], shared: list[list[int]], width: in
                         else:
                             known[other] = n
             node >>= 1
-    return order, fresh
+    return order, carried
+
+
+def byte_lengths(words: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    """How many bytes each row (of big-endian words) shares with the row before, from the whole words they share."""
+    out = carried.astype(np.int64) * WORD
+    i = np.flatnonzero((carried < words.shape[1]) & (np.arange(len(words)) > 0))
+    w = carried[i]
+    x = words[i, w].astype(np.uint64) ^ words[i - 1, w].astype(np.uint64)
+    for k in range(1, WORD):  # equal leading bytes
+        out[i] += x < np.uint64(1 << (64 - 8 * k))
+    return out
 
 
-def repeated(rows: np.ndarray, owner: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated(rows: np.ndarray, shared: np.ndarray, owner: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each occurrence (owner: its row of ``rows``, doc: its doc_id) a bit s if the window that starts s bytes before the
     anchor also stands in a document with a smaller doc_id.
 
-    Windows are told apart by 64-bit digests of their bytes.
+    rows are sorted, and shared[i] is how many bytes row i has in common with row i - 1; neighbours with fewer than n part
+    the rows into classes of equal first n bytes.  The bytes before the anchors are sorted here to the same end.
     """
     left = length - GRAM
     least = np.full(len(rows), LAST, np.int64)
     np.minimum.at(least, owner, doc)
     after = (rows[:, :length] != PAD).sum(axis=1)
     before = (rows[:, length : length + left] != PAD).sum(axis=1)
-    right = np.empty((left + 1, len(rows)), np.uint64)
-    h = np.zeros(len(rows), np.uint64)
-    for i in range(length):
-        h = _mix((h ^ TABLE[rows[:, i]]) * C1)
-        if i + 1 >= GRAM:
-            right[length - i - 1] = h  # for s = length - (i + 1) bytes before the anchor
-    h = np.zeros(len(rows), np.uint64)
+    ahead = np.zeros((len(rows), -(-left // WORD) * WORD), np.uint8)
+    ahead[:, :left] = rows[:, length : length + left]
+    words = ahead.view(">u8")
+    back = np.lexsort([words[:, k] for k in range(words.shape[1] - 1, -1, -1)])
+    same = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = ahead[back][1:] != ahead[back][:-1]
+        same[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), left)
     every, other = np.zeros(len(rows), np.uint32), np.zeros(len(rows), np.uint32)
+    behind = np.empty(len(rows), np.int64)
     for s in range(left + 1):
-        if s:
-            h = _mix((h ^ TABLE[rows[:, length + s - 1]]) * C2)
         ok = np.flatnonzero((before >= s) & (after >= length - s))
         if not len(ok):
             continue
-        key = _mix(right[s][ok] * C3 + h[ok] * C4 + np.uint64(s))
+        behind[back] = np.cumsum(same < s)
+        key = (np.cumsum(shared < length - s) * np.int64(len(rows) + 1) + behind)[ok]
         o = np.argsort(key, kind="stable")
         k = key[o]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -377,18 +415,21 @@ def marks(sorted_: DataFrame) -> DataFrame:
             rows.append(m)
             words.append(list(map(tuple, m.view(">u8").tolist())))
             shared.append((s // WORD).tolist())
-        order, fresh = merge(words, shared, width)
+        order, carried = merge(words, shared, width)
         sizes = np.array([len(m) for m in rows])
         start = np.r_[0, np.cumsum(sizes)[:-1]]
         o = np.array(order, np.int64)
         flat = start[o[:, 0]] + o[:, 1]
+        carried = np.array(carried, np.int64)
+        fresh = (carried < width) | (np.arange(len(flat)) == 0)
         kind = np.cumsum(fresh) - 1  # the class of each entry in merged order
         class_of = np.empty(len(flat), np.int64)
         class_of[flat] = kind
-        reps = np.concatenate(rows)[flat[np.flatnonzero(fresh)]]
+        reps = np.concatenate(rows)[flat[fresh]]
+        lengths = byte_lengths(reps.view(">u8"), carried[fresh])
         times = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["times"]])
         doc = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["ids"]])
-        bits = repeated(reps, np.repeat(class_of, times), doc)
+        bits = repeated(reps, lengths, np.repeat(class_of, times), doc)
         out, at = [], 0
         for run, ids, places in zip(pdf["run"], pdf["ids"], pdf["places"]):
             n = len(ids) // 8
@@ -401,6 +442,58 @@ def marks(sorted_: DataFrame) -> DataFrame:
     return sorted_.groupBy("part").applyInPandas(task, "run long, places binary, bits binary")
 
 
+WINDOWS = "run long, window binary, least long, ids binary, places binary"
+
+
+def frequent(packed: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
+    """run, places, bits as of ``marks`` for the anchors that occur too often: their windows, each by its own bytes.
+
+    A run gives one row for each distinct window with its least doc_id; only these two columns are aggregated, with a
+    partial result in each task, so no window is too frequent.
+    """
+    left = length - GRAM
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            for run, ids, sizes, data, lists in zip(*(c.to_pylist() for c in p.columns)):
+                r = Run(ids, sizes, data)
+                at, h, doc = r.anchors()
+                good = np.concatenate([_unpack6(x) for x in lists])
+                ok = np.isin(_short(h) | np.uint64(1), good)
+                at, doc = at[ok], doc[ok]
+                starts, ends = r.ends - r.sizes, r.ends
+                places = (at[:, None] - np.arange(left + 1)).ravel()
+                doc = np.repeat(doc, left + 1)
+                ok = (places >= starts[doc]) & (places + length <= ends[doc])
+                places, first = np.unique(places[ok], return_index=True)
+                doc_id = r.ids[doc[ok][first]]
+                if not len(places):
+                    continue
+                w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(r.data, length)[places])
+                _, first, which = np.unique(w.view(f"V{length}").ravel(), return_index=True, return_inverse=True)
+                o = np.lexsort((places, doc_id, which))
+                cuts = np.flatnonzero(np.r_[True, which[o][1:] != which[o][:-1]])
+                out = [(run, w[first[which[o[i]]]].tobytes(), int(doc_id[o[i]]), doc_id[o[i:j]].astype("<i8").tobytes(), places[o[i:j]].astype("<u4").tobytes()) for i, j in zip(cuts, np.r_[cuts[1:], len(o)])]
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                for i in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000]), types)], names=[x.split()[0] for x in WINDOWS.split(", ")])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            out = []
+            for run, least, ids, places in zip(*(c.to_pylist() for c in p.columns)):
+                hit = np.frombuffer(places, "<u4")[np.frombuffer(ids, "<i8") > least]
+                if len(hit):
+                    out.append((run, hit.tobytes(), np.ones(len(hit), "<u4").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["run", "places", "bits"])
+
+    lists = shared.filter("hot > 0").groupBy("run").agg(F.collect_list("shared").alias("lists"))
+    found = cut(packed.join(lists, "run").select("run", "ids", "sizes", "data", "lists").mapInArrow(task, WINDOWS), "suffix-windows")
+    least = found.groupBy("window").agg(F.min("least").alias("first"))
+    return found.join(least, "window").select("run", "first", "ids", "places").mapInArrow(later, "run long, places binary, bits binary")
+
+
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -409,15 +502,16 @@ def cutting(packed: DataFrame, marked: DataFrame, keep_bytes: bool) -> DataFrame
         for p in batches:
             for ids, sizes, data, places, bits in zip(*(c.to_pylist() for c in p.columns)):
                 r = Run(ids, sizes, data)
-                step = np.zeros(len(r.data) + 1, np.int32)
+                gone = np.zeros(len(r.data), bool)
                 if places:
                     at = np.concatenate([np.frombuffer(x, "<u4") for x in places]).astype(np.int64)
                     bit = np.concatenate([np.frombuffer(x, "<u4") for x in bits])
+                    starts = np.zeros(len(r.data) + LENGTH, np.int32)
                     for s in range(LENGTH - GRAM + 1):
-                        w = at[(bit >> np.uint32(s)) & np.uint32(1) > 0] - s
-                        np.add.at(step, w, 1)
-                        np.subtract.at(step, w + LENGTH, 1)
-                gone = np.cumsum(step[:-1]) > 0
+                        starts[at[bit & np.uint32(1 << s) > 0] - s + LENGTH] = 1
+                    # A byte goes if one of the LENGTH windows over it starts where a repeated one does.
+                    so_far = np.cumsum(starts, dtype=np.int32)
+                    gone = so_far[LENGTH:] > so_far[:-LENGTH]
                 out, start = [], 0
                 for doc_id, size in zip(r.ids.tolist(), r.sizes.tolist()):
                     g, d = gone[start : start + size], r.data[start : start + size]
@@ -433,7 +527,7 @@ def cutting(packed: DataFrame, marked: DataFrame, keep_bytes: bool) -> DataFrame
     return packed.join(m, "run", "left").select("ids", "sizes", "data", "places", "bits").mapInArrow(task, REPORT)
 
 
-def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, bucket_anchors: int = BUCKET_ANCHORS, part_bytes: int = PART_BYTES, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, bucket_anchors: int = BUCKET_ANCHORS, part_bytes: int = PART_BYTES, keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null without ``keep_bytes``), one row for
     each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -443,8 +537,10 @@ def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, bucket_anchors:
     """
     packed = cut(runs(docs, run_bytes), "suffix-texts", compression="none")
     total = packed.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] * 3  # texts compress to about a third
-    shared = cut(shared_anchors(packed, max(12, -(-total // (16 * bucket_anchors)))), "suffix-shared", compression="none")
+    shared = cut(shared_anchors(packed, max(12, -(-total // (16 * bucket_anchors))), hot), "suffix-shared", compression="none")
     marked = cut(marks(sorted_runs(packed, shared, max(12, -(-total // part_bytes)))), "suffix-marks")
+    if shared.filter("hot > 0").limit(1).count():
+        marked = marked.union(cut(frequent(packed, shared), "suffix-frequent"))
     return cutting(packed, marked, keep_bytes)
 
 

@@ -535,7 +535,14 @@ def test_suffixes(spark, docs, empty, texts, run_bytes):
     for r in suffixes.remove_repeats(df, run_bytes=run_bytes, bucket_anchors=64, part_bytes=400).collect():
         got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
-    assert {i: sorted(v) for i, v in got.items()} == removed([*texts, *more])
+    want = removed([*texts, *more])
+    assert {i: sorted(v) for i, v in got.items()} == want
+    # Anchors that leave the merge for being frequent: all, those of several runs, none.
+    for hot in (0, 16):
+        got = collections.defaultdict(list)
+        for r in suffixes.remove_repeats(df, run_bytes=run_bytes, bucket_anchors=64, part_bytes=400, hot=hot).collect():
+            got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+        assert {i: sorted(v) for i, v in got.items()} == want
     assert suffixes.remove_repeats(empty).count() == 0
 
 
@@ -551,10 +558,18 @@ def test_loser_tree_merge(runs):
         return n
 
     shared = [[0, *[common(a, b) for a, b in zip(x, x[1:])]][: len(x)] for x in lists]
-    order, fresh = suffixes.merge(lists, shared, 4)
+    order, carried = suffixes.merge(lists, shared, 4)
     out = [lists[r][i] for r, i in order]
     assert out == sorted(x for v in lists for x in v)
-    assert fresh == [k == 0 or out[k] != out[k - 1] for k in range(len(out))]
+    assert carried == [common(out[k - 1], out[k]) if k else 0 for k in range(len(out))]
+
+
+def test_byte_lengths():
+    rng = np.random.default_rng(5)
+    rows = np.unique(rng.integers(0, 2, (300, 24)).astype(np.uint8), axis=0)
+    words = rows.view(">u8")
+    same = [0] + [next(k for k in range(24) if a[k] != b[k]) for a, b in zip(rows, rows[1:])]
+    assert suffixes.byte_lengths(words, np.array([x // 8 for x in same])).tolist() == same
 
 
 def test_front_coding():
