@@ -2,7 +2,8 @@
 
 Overlapping heuristic labellers vote good, bad or abstain; expectation maximisation (Dawid and Skene's model) estimates
 how each votes on good and on bad documents from the counts of vote patterns alone; the posterior of a bounded sample
-of documents trains a linear scorer over hashed word shapes, and the scorer decides about every document.
+of documents trains a linear scorer over hashed word shapes, words and word pairs, and the scorer decides about every
+document.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
 
-BUCKETS, TRAIN_ROWS, KEEP = 2048, 6000, 0.5
+BUCKETS, TRAIN_ROWS, KEEP = 2048, 6000, 0.5  # buckets of shapes; as many of words and of pairs follow
 AGAIN = "⟳"
 GOOD, BAD, ABSTAIN = "1", "0", "2"
 
@@ -30,9 +31,10 @@ def shape(text: Column) -> Column:
 
 
 def shaped(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _words (array of word shapes) and _lines (array of non-blank lines)."""
+    """Adds _words (array of word shapes), _tokens (of the words in lower case) and _lines (of non-blank lines)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("_words", F.filter(F.split(shape(t), r"\s+"), lambda w: w != "")).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
+    parts = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    return docs.withColumn("_words", parts(shape(t))).withColumn("_tokens", parts(F.lower(t))).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
 
 
 def measured(at: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def measured(at: DataFrame) -> DataFrame:
         "_plain": share(lambda w: w.isin("a", "Aa", "A", "a.", "a,", "Aa.", "Aa,", "a;", "a:", "a?", "a!", "(a", "a)", "A.", "A,", "'a", "a'", "a'a", "a’a", "a-a")),
         "_ends": F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*".!?:;…\"”»)"))) / lines,
         "_distinct": F.size(F.array_distinct("_lines")) / lines,
-    }).drop("_words", "_lines")
+    }).drop("_words", "_tokens", "_lines")
 
 
 def labellers() -> dict[str, Column]:
@@ -125,17 +127,25 @@ class Scorer:
     def column(self) -> Column:
         """On the columns of ``shaped``; a document without words scores 0."""
         w = F.split(F.lit(",".join(f"{x:.6g}" for x in self.weights)), ",").cast("array<double>")
-        total = F.aggregate("_words", F.lit(0.0), lambda a, x: a + F.element_at(w, (bucket(x, len(self.weights)) + 1).cast("int")))
+        total = F.aggregate(places(len(self.weights) // 3), F.lit(0.0), lambda a, x: a + F.get(w, x))
         n = F.size("_words")
         return F.when(n == 0, 0.0).otherwise(1 / (1 + F.exp(-(total / n + F.lit(float(self.bias))))))
 
 
-def bucket(word: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets))
+def places(buckets: int = BUCKETS) -> Column:
+    """The features of a document, on the columns of ``shaped``: for each word the bucket of its shape, of itself and of the
+    pair that it makes with the next."""
+    at = lambda part, *of: (F.pmod(F.xxhash64(*of), F.lit(buckets)) + part * buckets).cast("int")
+    shapes = F.transform("_words", lambda x: at(0, x))
+    words = F.transform("_tokens", lambda x: at(1, x))
+    pairs = F.transform("_tokens", lambda x, i: at(2, x, F.get("_tokens", i + 1)))
+    return F.concat(shapes, words, pairs)
 
 
 def train(features: list[dict[int, float]], target: np.ndarray, buckets: int = BUCKETS, rounds: int = 400, l2: float = 1e-4, rate: float = 20.0) -> Scorer:
-    """Logistic regression on soft targets, each class with half of the weight, by accelerated gradient steps."""
+    """Logistic regression on soft targets over ``3 * buckets`` features, each class with half of the weight, by accelerated
+    gradient steps."""
+    size = 3 * buckets
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     cols = np.array([c for f in features for c in f], int)
     vals = np.array([x for f in features for x in f.values()], float)
@@ -143,12 +153,12 @@ def train(features: list[dict[int, float]], target: np.ndarray, buckets: int = B
     good = np.clip(target.sum(), 1e-3, None)
     weight = target * (0.5 / good) + (1 - target) * (0.5 / max(n - good, 1e-3))
     # A vote that a share of common shapes decides needs no tiny steps: the shares of a document sum to 1.
-    w, b = np.zeros(buckets), 0.0
+    w, b = np.zeros(size), 0.0
     mw, mb = w.copy(), b
     for k in range(rounds):
         z = np.bincount(rows, vals * mw[cols], n) + mb
         g = (1 / (1 + np.exp(-z)) - target) * weight
-        nw = mw - rate * (np.bincount(cols, vals * g[rows], buckets) + l2 * mw)
+        nw = mw - rate * (np.bincount(cols, vals * g[rows], size) + l2 * mw)
         nb = mb - rate / 10 * g.sum()
         beta = k / (k + 3)
         mw, mb = nw + beta * (nw - w), nb + beta * (nb - b)
@@ -172,14 +182,18 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -
     if not found:
         return None
     labels = expectation_maximisation([r["pattern"] for r in found], [r["count"] for r in found])
-    chosen = docs.select("doc_id", "text").filter("length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = shaped(chosen).withColumn("at", F.transform("_words", lambda w: bucket(w, buckets).cast("int")))
+    # The texts of the smallest key hashes: a bound that about twice as many are below is known from their number.
+    texts, total = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).filter("length(text) > 0"), sum(r["count"] for r in found)
+    below = texts.filter(F.col("h") < int(-(2**63) + 2**64 * min(1.0, 2 * train_rows / total) * 0.999999))
+    if total > 2 * train_rows and below.select("h").limit(train_rows).count() == train_rows:
+        texts = below
+    rows = shaped(texts.orderBy("h", "doc_id", "text").limit(train_rows).drop("h")).withColumn("at", places(buckets))
     rows = measured(rows).select(votes().alias("pattern"), "at").collect()
     rows = [r for r in rows if r["at"]]
     features = []
     for r in rows:
         ids, n = np.unique(r["at"], return_counts=True)
-        features.append(dict(zip(ids.tolist(), (n / n.sum()).tolist())))
+        features.append(dict(zip(ids.tolist(), (3 * n / n.sum()).tolist())))
     return Quality(labels, train(features, labels.posterior([r["pattern"] for r in rows]), buckets))
 
 
@@ -189,7 +203,7 @@ def score(docs: DataFrame, model: Quality | None, keep: float = KEEP) -> DataFra
     if model is None:
         return docs.withColumn("quality_score", F.lit(0.0)).withColumn("kept", F.lit(False))
     scored = shaped(docs).withColumn("quality_score", F.round(model.scorer.column(), 6))
-    return scored.drop("_words", "_lines").withColumn("kept", F.col("quality_score") >= keep)
+    return scored.drop("_words", "_tokens", "_lines").withColumn("kept", F.col("quality_score") >= keep)
 
 
 def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
