@@ -5,8 +5,6 @@ All of them are built-in expressions, so they stay inside the JVM and can be fol
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 EPS, TINY = 1e-6, 1e-12
@@ -115,5 +113,7 @@ def alpha_ratio(alpha: float, most: int = 100) -> str:
     return f"{a.denominator - a.numerator}:{a.numerator}"
 
 
-def average(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns) / len(columns)
+def residual(t: Column, u: Column) -> Column:
+    """The length of what is left of t without its part along the unit vector u."""
+    along = total(F.zip_with(t, u, lambda x, y: x * y))
+    return F.get(F.transform(F.array(along), lambda a: norm(F.zip_with(t, u, lambda x, y: x - a * y))), 0)

@@ -93,27 +93,28 @@ def bounds_row(df: DataFrame) -> DataFrame:
     return bounds(df).agg(rows.alias("r")).select(F.transform("r", lambda x: x["lo"]).alias("lo"), F.transform("r", lambda x: x["hi"]).alias("hi"))
 
 
-def dense_index(df: DataFrame, order: str = "row_id", name: str = "i") -> DataFrame:
+def dense_index(df: DataFrame, order: str | list = "row_id", name: str = "i") -> DataFrame:
     """Number the rows from 0 in the order of ``order``: in one task up to ONE_TASK rows; beyond, by sorted ranges, each
     from the count of the ranges before it."""
+    order = order if isinstance(order, list) else [order]
     if df.count() <= ONE_TASK:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     from .storage import written
 
-    parts = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = F.broadcast(sizes.select("_part", before.alias("_before")))  # one row for each partition
-    return parts.join(sizes, "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")).drop("_part", "_before")
+    return parts.join(sizes, "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")).drop("_part", "_before")
 
 
 def folds(df: DataFrame, k: int, seed: int = 42, tag: str = "fold") -> DataFrame:
     """Adds fold (from 1): rows of each class in seeded order are dealt in turn, the positives from where the negatives
     ended, so class counts differ by at most one between folds and so do the fold sizes."""
-    order = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("row_id").cast("string"))), "row_id")
-    off = F.when(F.col("y") == 1, F.col("_n0") % k).otherwise(0)
-    one = df.agg(F.count_if(F.expr("y = 0")).alias("_n0"))
-    return df.crossJoin(F.broadcast(one)).withColumn("fold", ((F.row_number().over(order) - 1 + off) % k + 1).cast("int")).drop("_n0")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("row_id").cast("string")))
+    # Numbered throughout, negatives first, a class need not fit into one task.
+    at = dense_index(df.withColumn("_key", key), ["y", "_key", "row_id"], "_i")
+    return at.withColumn("fold", (F.col("_i") % k + 1).cast("int")).drop("_key", "_i")
 
 
 def impute_and_scale(df: DataFrame, columns: list[str], k: int) -> DataFrame:
@@ -131,5 +132,20 @@ def impute_and_scale(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return at.select("fold", "row_id", "y", "column", ((F.coalesce("v", "m") - F.col("mu")) / sd).alias("value"))
 
 
-def labelled(df: DataFrame, label: Column) -> DataFrame:
-    return df.withColumn("y", label.cast("int"))
+def prepared(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames with features imputed by the median of the training rows and standardised by their mean and population
+    deviation (1 if that is 0).  Null, NaN and infinite values are missing; dimensions without any value in training
+    are dropped."""
+    v = train.select(F.posexplode("features").alias("pos", "v")).withColumn("v", F.when(S.finite(F.col("v")), F.col("v")))
+    median = v.groupBy("pos").agg(F.median("v").alias("m")).filter("m is not null")
+    filled = v.join(F.broadcast(median), "pos").withColumn("v", F.coalesce("v", "m"))  # one row a dimension
+    stats = filled.groupBy("pos").agg(F.first("m").alias("m"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    one = F.broadcast(stats.agg(F.array_sort(F.collect_list(F.struct("pos", "m", "mu", "sd"))).alias("_s")))
+
+    def value(s: Column) -> Column:
+        x = F.get("features", s["pos"])
+        x = F.when(S.finite(x), x).otherwise(s["m"])
+        return (x - s["mu"]) / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0)
+
+    done = lambda df: df.crossJoin(one).withColumn("features", F.transform("_s", value)).drop("_s")
+    return done(train), done(test)

@@ -1,7 +1,8 @@
 """Tree ensembles, one tree a task.
 
-The training rows of a model are the unit of work: every tree sees all of them (drawn anew), so they are shipped to each
-tree as one compact block whose size is checked.  Larger tables go to MLlib's distributed trees.
+The training rows of a model are the unit of work: every tree sees all of them (drawn anew).  A block of at most
+``BLOCK_BYTES`` is broadcast; a larger one is dealt out once for each tree, in pieces that a task gathers, and gives the same
+trees.  What no task can hold is refused: ``distributed_forest`` (MLlib's) is the name for such tables.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bytes of training data that may be shipped to each tree's task.
-BLOCK_BYTES = 64 << 20
+from .storage import written
 
+#: Bytes of training data that are broadcast, bytes that a task may gather for one tree, and rows of a piece.
+BLOCK_BYTES, TASK_BYTES, PIECE_ROWS = 64 << 20, 1 << 30, 4096
+
+# The names that users type.
 CLASSIFIERS = {
     "rf": "rf", "random_forest": "rf", "randomforest": "rf", "extratrees": "extratrees", "extra_trees": "extratrees", "bagged_cart": "bagged_cart", "baggedcart": "bagged_cart",
-    "random_subspace_trees": "random_subspace_trees", "rst": "random_subspace_trees", "decision_tree": "decision_tree", "cart": "decision_tree",
+    "random_subspace_trees": "random_subspace_trees", "rst": "random_subspace_trees", "decision_tree": "decision_tree", "cart": "decision_tree", "distributed_forest": "distributed_forest",
 }
+# Names of the balanced ensembles.
 RIVALS = ("balanced_random_forest", "balanced_bagging", "easy_ensemble", "rus_boost")
 
 
@@ -140,70 +145,147 @@ def _draw(y: np.ndarray, how: str, rng: np.random.Generator) -> np.ndarray:
     return np.arange(len(y))
 
 
-def member_scores(x: np.ndarray, y: np.ndarray, test: np.ndarray, p: Plan, seed: int) -> np.ndarray:
-    """Scores of ``test`` rows by one member: a tree, or a boosted sequence of trees."""
-    rng = np.random.default_rng(seed)
-    base = np.ones(len(y))
-    if p.weighted:
-        for c in (0, 1):
-            n = max(1, int((y == c).sum()))
-            base[y == c] = len(y) / (2 * n)
-    if not p.boost:
-        rows = _draw(y, p.rows, rng)
-        return Tree(p, rng).fit(x[rows], y[rows], base[rows]).predict(test)
-    rows = np.arange(len(y)) if p.rows == "rus" else _draw(y, p.rows, rng)
-    bx, by = x[rows], y[rows]
-    w, total, votes = np.full(len(rows), 1.0 / len(rows)), 0.0, np.zeros(len(test))
-    for _ in range(p.boost):
-        take = _draw(by, "balanced", rng) if p.rows == "rus" else np.arange(len(by))
-        tree = Tree(p, rng).fit(bx[take], by[take], w[take])
-        wrong = (tree.predict(bx) >= 0.5) != by
-        err = float(np.clip(w[wrong].sum() / w.sum(), 1e-10, 1 - 1e-10))
-        step = p.rate * np.log((1 - err) / err)
-        if step <= 0:
-            continue
-        votes += step * (2.0 * (tree.predict(test) >= 0.5) - 1)
-        total += step
-        w = w * np.exp(np.where(wrong, step, 0.0))
-        w /= w.sum()
-        if err <= 1e-9:
-            break
-    return 1 / (1 + np.exp(-2 * votes / max(total, 1e-12)))
+class Member:
+    """One member of an ensemble: a tree, or a boosted sequence of trees with their votes' weights."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, p: Plan, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        base = np.ones(len(y))
+        if p.weighted:
+            for c in (0, 1):
+                base[y == c] = len(y) / (2 * max(1, int((y == c).sum())))
+        self.boosted = bool(p.boost)
+        self.trees: list[tuple[Tree, float]] = []
+        if not p.boost:
+            rows = _draw(y, p.rows, rng)
+            self.trees = [(Tree(p, rng).fit(x[rows], y[rows], base[rows]), 1.0)]
+            return
+        rows = np.arange(len(y)) if p.rows == "rus" else _draw(y, p.rows, rng)
+        bx, by = x[rows], y[rows]
+        w = np.full(len(rows), 1.0 / len(rows))
+        for _ in range(p.boost):
+            take = _draw(by, "balanced", rng) if p.rows == "rus" else np.arange(len(by))
+            tree = Tree(p, rng).fit(bx[take], by[take], w[take])
+            wrong = (tree.predict(bx) >= 0.5) != by
+            err = float(np.clip(w[wrong].sum() / w.sum(), 1e-10, 1 - 1e-10))
+            step = p.rate * np.log((1 - err) / err)
+            if step <= 0:
+                continue
+            self.trees.append((tree, step))
+            w = w * np.exp(np.where(wrong, step, 0.0))
+            w /= w.sum()
+            if err <= 1e-9:
+                break
+
+    def scores(self, test: np.ndarray) -> np.ndarray:
+        if not self.boosted:
+            return self.trees[0][0].predict(test)
+        votes, total = np.zeros(len(test)), 0.0
+        for tree, step in self.trees:
+            votes += step * (2.0 * (tree.predict(test) >= 0.5) - 1)
+            total += step
+        return 1 / (1 + np.exp(-2 * votes / max(total, 1e-12)))
 
 
 def fit_score(train: DataFrame, test: DataFrame, name: str, trees: int = 50, seed: int = 42, weighted: bool = False) -> DataFrame:
     """row_id, y, score of the test rows: the mean over the members, one member a row of work."""
+    if name not in RIVALS and canonical(name) == "distributed_forest":
+        return _distributed(train, test, trees, seed, weighted)
     spark = train.sparkSession
     p = plan(name, trees, weighted)
     size = train.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
     if not size["n"]:
         return test.select("row_id", "y", F.lit(0.0).alias("score"))
-    if size["n"] * (size["d"] + 1) * 8 > BLOCK_BYTES:
-        return _distributed(train, test, name, trees, seed, weighted)
+    bytes_ = size["n"] * (size["d"] + 1) * 8
+    if bytes_ > TASK_BYTES:
+        raise ValueError(f"{name}: {bytes_} bytes of training rows are more than a tree's task may gather ({TASK_BYTES}); use distributed_forest")
+    members = F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("member")
+    asked = test.select("row_id", "features", "y", members)
+    score = _broadcast_members if bytes_ <= BLOCK_BYTES else _gathered_members
+    n = max(1, min(p.trees, spark.sparkContext.defaultParallelism))
+    return score(train, asked, members, p, seed, n).groupBy("row_id", "y").agg(F.avg("s").alias("score"))
+
+
+SCORED = "row_id long, y int, s double"
+
+
+def _broadcast_members(train: DataFrame, asked: DataFrame, members: Column, p: Plan, seed: int, n: int) -> DataFrame:
     rows = train.select("row_id", "features", "y").orderBy("row_id").toPandas()
-    block = spark.sparkContext.broadcast((np.stack(rows["features"].to_list()).astype(float), rows["y"].to_numpy(int)))
+    block = train.sparkSession.sparkContext.broadcast((np.stack(rows["features"].to_list()).astype(float), rows["y"].to_numpy(int)))
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y = block.value
+        at, member = None, None
         for part in parts:
-            t = np.stack(part["features"].to_list()).astype(float)
-            for member in sorted(set(part["member"])):
-                own = (part["member"] == member).to_numpy()
-                yield pd.DataFrame({"row_id": part["row_id"][own], "y": part["y"][own], "s": member_scores(x, y, t[own], p, seed * 100_003 + int(member))})
+            for m in sorted(set(part["member"])):
+                if m != at:
+                    at, member = m, Member(x, y, p, seed * 100_003 + int(m))
+                own = part[part["member"] == m]
+                yield pd.DataFrame({"row_id": own["row_id"], "y": own["y"], "s": member.scores(np.stack(own["features"].to_list()).astype(float))})
 
-    members = test.select("row_id", "features", "y", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("member"))
-    dealt = members.repartition(max(1, min(p.trees, spark.sparkContext.defaultParallelism)), "member").sortWithinPartitions("member", "row_id")
-    return dealt.mapInPandas(task, "row_id long, y int, s double").groupBy("row_id", "y").agg(F.avg("s").alias("score"))
+    return asked.repartition(n, "member").sortWithinPartitions("member", "row_id").mapInPandas(task, SCORED)
 
 
-def _distributed(train: DataFrame, test: DataFrame, name: str, trees: int, seed: int, weighted: bool) -> DataFrame:
+def _gathered_members(train: DataFrame, asked: DataFrame, members: Column, p: Plan, seed: int, n: int) -> DataFrame:
+    """The training rows in pieces, dealt out once for each member before the rows that it scores."""
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), PIECE_ROWS):
+                own = part.iloc[at : at + PIECE_ROWS]
+                x = np.stack(own["features"].to_list()).astype("<f8")
+                yield pd.DataFrame([{"ids": own["row_id"].to_numpy("<i8").tobytes(), "labels": own["y"].to_numpy("i1").tobytes(), "piece": x.tobytes()}])
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, member, held = None, None, []
+        for part in parts:
+            for m, own in part.groupby("member", sort=True):
+                if m != at:
+                    at, member, held = m, None, []
+                pieces = own[own["scored"] == 0]
+                held += list(zip(pieces["ids"], pieces["labels"], pieces["piece"]))
+                own = own[own["scored"] == 1]
+                if not len(own):
+                    continue
+                if member is None:
+                    ids, y = (np.frombuffer(b"".join(h[i] for h in held), t) for i, t in ((0, "<i8"), (1, "i1")))
+                    x = np.frombuffer(b"".join(h[2] for h in held), "<f8").reshape(len(ids), -1)
+                    held, o = [], np.argsort(ids, kind="stable")
+                    member = Member(x[o], y[o].astype(int), p, seed * 100_003 + int(m))
+                yield pd.DataFrame({"row_id": own["row_id"], "y": own["y"], "s": member.scores(np.stack(own["features"].to_list()).astype(float))}).astype({"row_id": "int64", "y": "int32"})
+
+    packed = written(train.select("row_id", "features", "y").mapInPandas(pack, "ids binary, labels binary, piece binary"))
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    rows = packed.select(members, F.lit(0).alias("scored"), none("long", "row_id"), none("array<double>", "features"), none("int", "y"), "ids", "labels", "piece")
+    asked = asked.select("member", F.lit(1).alias("scored"), "row_id", F.col("features").cast("array<double>").alias("features"), "y", *[none("binary", c) for c in ("ids", "labels", "piece")])
+    return rows.union(asked).repartition(n, "member").sortWithinPartitions("member", "scored", "row_id").mapInPandas(task, SCORED)
+
+
+def _distributed(train: DataFrame, test: DataFrame, trees: int, seed: int, weighted: bool) -> DataFrame:
+    """MLlib's random forest: histogram splits over the whole table, for tables that no task can hold."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    subset = "sqrt" if name in ("rf", "extratrees", "balanced_random_forest") else "all"
     c = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(c.values())
-    weight = F.when(F.col("y") == 1, n / (2.0 * c.get(1, 1))).otherwise(n / (2.0 * c.get(0, 1))) if weighted or name in RIVALS else F.lit(1.0)
-    model = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=trees, maxDepth=20, maxBins=128, featureSubsetStrategy=subset, seed=seed)
+    weight = F.when(F.col("y") == 1, n / (2.0 * c.get(1, 1))).otherwise(n / (2.0 * c.get(0, 1))) if weighted else F.lit(1.0)
+    model = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=trees, maxDepth=20, maxBins=128, featureSubsetStrategy="sqrt", seed=seed)
     fitted = model.fit(train.select(array_to_vector("features").alias("v"), F.col("y").cast("double").alias("y"), weight.alias("w")))
-    return fitted.transform(test.withColumn("v", array_to_vector("features"))).select("row_id", "y", vector_to_array("probability")[1].alias("score"))
+    return positive_scores(fitted.transform(test.withColumn("v", array_to_vector("features"))).withColumn("probability", vector_to_array("probability")), [float(x) for x in range(fitted.numClasses)])
+
+
+def positive_scores(scored: DataFrame, classes: list[float] | None = None) -> DataFrame:
+    """row_id, y, score of class 1 from what a fitted model of any kind left in ``scored``.
+
+    probability (array<double>, by ``classes``): the value of class 1, 0 if the model never saw it; else raw (double, a
+    decision value): scaled to [0, 1] over all rows, 0.5 where all are equal; else prediction.
+    """
+    if "probability" in scored.columns:
+        at = classes.index(1.0) if classes and 1.0 in classes else None if classes else 1
+        value = F.lit(0.0) if at is None else F.when(F.size("probability") > at, F.get("probability", F.lit(at))).otherwise(0.0)
+        return scored.select("row_id", "y", value.alias("score"))
+    if "raw" in scored.columns:
+        span = scored.agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
+        value = F.when(F.col("_hi") - F.col("_lo") > 1e-12, (F.col("raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+        return scored.crossJoin(F.broadcast(span)).select("row_id", "y", value.alias("score"))  # one row
+    return scored.select("row_id", "y", F.col("prediction").cast("double").alias("score"))

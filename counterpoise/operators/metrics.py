@@ -18,7 +18,12 @@ def rank01(df: DataFrame, score: str, by: list[str], to: str, exact: bool = Fals
 
 
 def normalize01(df: DataFrame, score: str, by: list[str], to: str) -> DataFrame:
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    if not by:  # the whole table: one row of bounds instead of one task
+        ends = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+        lo, hi = F.col("_lo"), F.col("_hi")
+        value = F.when(hi - lo < S.TINY, 0.0).otherwise((F.col(score) - lo) / (hi - lo))
+        return df.crossJoin(F.broadcast(ends)).withColumn(to, value).drop("_lo", "_hi")
+    w = Window.partitionBy(*by)
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     return df.withColumn(to, F.when(hi - lo < S.TINY, 0.0).otherwise((F.col(score) - lo) / (hi - lo)))
 

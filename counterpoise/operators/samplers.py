@@ -132,8 +132,8 @@ def adasyn(df: DataFrame, need: int, n1: int, seed: int) -> DataFrame:
     d = d.join(knn.nearest(rows, rows, k, skip_self=True).select("q", F.col("rk").cast("long").alias("rk"), "j"), ["q", "rk"])
     d = d.join(rows.select(F.col("row_id").alias("q"), F.col("features").alias("bf")), "q").join(rows.select(F.col("row_id").alias("j"), F.col("features").alias("pf")), "j")
     d = d.withColumnRenamed("q", "base_id").withColumnRenamed("j", "partner_id")
-    order = Window.orderBy("base_id", "t")
-    return d.select((F.row_number().over(order) - 1).cast("long").alias("draw"), "base_id", "partner_id", "lam", S.between(F.col("bf"), F.col("pf"), F.col("lam")).alias("features"))
+    d = frames.dense_index(d, ["base_id", "t"], "draw")
+    return d.select("draw", "base_id", "partner_id", "lam", S.between(F.col("bf"), F.col("pf"), F.col("lam")).alias("features"))
 
 
 def kmeans_smote(df: DataFrame, need: int, n1: int, seed: int, clusters: int = 8, threshold: float = 0.01) -> DataFrame:
@@ -206,6 +206,7 @@ def guided_smote(df: DataFrame, need: int, n1: int, seed: int, push: float = 0.1
     return at.select("draw", "base_id", "partner_id", "lam", S.clip_to(moved, F.col("lo"), F.col("hi")).alias("features"))
 
 
+# The names that users type.
 ALIASES = {
     "none": "none", "native": "none", "no_sampling": "none", "random_over_sampler": "random_over_sampler", "ros": "random_over_sampler", "random": "random_over_sampler",
     "smote": "smote", "smote_tomek": "smote_tomek", "smotetomek": "smote_tomek", "kmeans_smote": "kmeans_smote", "adasyn": "adasyn", "borderline_smote": "borderline_smote",

@@ -238,16 +238,16 @@ ORACLE_SQL["metrics_all"] = f"WITH {SC}, {ap('sc', 'split')}, {AUC}, {CM} SELECT
 # Ten steps of alpha (0, 0.25, 0.333333, 0.5, 0.75, 1 for each of two modes).
 GRID = f"""{SC}, gr AS (SELECT CAST(row_number() OVER (ORDER BY m, a) - 1 AS INTEGER) AS cand_idx, CASE m WHEN 0 THEN 'prob' ELSE 'priorcorr' END AS mode, a AS alpha
   FROM (SELECT unnest([0, 1]) AS m), (SELECT unnest([0.0, 0.25, 0.333333, 0.5, 0.75, 1.0]::DOUBLE[]) AS a)),
-bs AS (SELECT split, cand_idx, row_id, y, round({clip01("(1.0::DOUBLE - alpha) * s + alpha * CASE WHEN mode = 'prob' THEN s1 ELSE " + corr('s1') + " END")}, 9) AS s FROM sc, gr WHERE split < 3),
+bs AS (SELECT split, cand_idx, row_id, y, round({clip01("(1.0::DOUBLE - alpha) * s + alpha * CASE WHEN mode = 'prob' THEN s1 ELSE " + corr('s1') + " END")}, 9) AS s FROM sc, gr),
 {ap('bs', 'split, cand_idx')}, {cal('bs', 'split, cand_idx')}, {patk('bs', 'split, cand_idx')},
 gs AS (SELECT split, cand_idx, ap, brier, prior_drift, p_at_k FROM ap JOIN cal USING (split, cand_idx) JOIN pk USING (split, cand_idx))"""
 ORACLE_SQL["blend_grid_stats"] = f"WITH {GRID} SELECT split, cand_idx, {', '.join(r(c, c) for c in ('ap', 'brier', 'prior_drift', 'p_at_k'))} FROM gs"
 _clipped = clip01("s")
-EVAL = f"""{GRID}, oc AS (SELECT split, row_id, y, {_clipped} AS s FROM sc WHERE split < 3),
+EVAL = f"""{GRID}, oc AS (SELECT split, row_id, y, {_clipped} AS s FROM sc),
 ob AS (SELECT split, avg((s - y) * (s - y)) AS brier0 FROM oc GROUP BY split), ok0 AS (SELECT split, y, row_number() OVER (PARTITION BY split ORDER BY s DESC, row_id) AS rn, greatest(1, sum(y) OVER (PARTITION BY split)) AS k FROM oc),
 ok AS (SELECT split, avg(CASE WHEN rn <= k THEN y::DOUBLE END) AS p0 FROM ok0 GROUP BY split),
 dl AS (SELECT gs.*, ap - (SELECT ap FROM gs g WHERE g.split = gs.split AND g.cand_idx = 2) AS ap_delta, brier - brier0 AS brier_loss, p0 - p_at_k AS p_loss FROM gs JOIN ob USING (split) JOIN ok USING (split)),
-ev AS (SELECT cand_idx, avg(ap) AS ap_mean, avg(ap) - 1.96::DOUBLE * stddev_samp(ap) / sqrt(count(*)) AS ap_lcb, avg(ap_delta) - 1.96::DOUBLE * stddev_samp(ap_delta) / sqrt(count(*)) AS ap_delta_lcb,
+ev AS (SELECT cand_idx, avg(ap) AS ap_mean, avg(ap) - 1.96::DOUBLE * stddev_samp(ap) / sqrt(count(ap)) AS ap_lcb, avg(ap_delta) - 1.96::DOUBLE * stddev_samp(ap_delta) / sqrt(count(ap_delta)) AS ap_delta_lcb,
   avg(prior_drift) + 1.96::DOUBLE * stddev_samp(prior_drift) / sqrt(count(*)) AS prior_drift_ucb, avg(brier_loss) + 1.96::DOUBLE * stddev_samp(brier_loss) / sqrt(count(*)) AS brier_ucb,
   avg(p_loss) + 1.96::DOUBLE * stddev_samp(p_loss) / sqrt(count(*)) AS p_loss_ucb FROM dl GROUP BY cand_idx),
 ef AS (SELECT *, CASE WHEN prior_drift_ucb > 0.05 THEN 1 ELSE 0 END + CASE WHEN brier_ucb > 0.01 THEN 1 ELSE 0 END + CASE WHEN p_loss_ucb > 0.05 THEN 1 ELSE 0 END AS violations FROM ev)"""

@@ -372,33 +372,29 @@ def metrics_all(spark, d):
     return M.all_metrics(_by_split(spark, d), ["split"]).select("split", *[fix(c) for c in ("pr_auc", "roc_auc", "f1", "recall", "precision", "balanced_accuracy", "mcc", "accuracy")])
 
 
-def _inner(spark, d):
-    return _scores(spark, d).filter("split < 3")  # the splits that have both classes
-
-
 SMALL_GRID = B.BlendParams(alphas=(0.0, 0.25, 0.5, 0.75, 1.0), modes=("prob", "priorcorr"))
 
 
 @query
 def blend_grid_stats(spark, d):
-    s = B.candidate_stats(B.scored(_inner(spark, d), B.grid(spark, SMALL_GRID)))
+    s = B.candidate_stats(B.scored(_scores(spark, d), B.grid(spark, SMALL_GRID)))
     return s.select("split", "cand_idx", *[fix(c) for c in ("ap", "brier", "prior_drift", "p_at_k")])
 
 
 @query
 def blend_bounds(spark, d):
-    e, _ = B.evaluate(_inner(spark, d), SMALL_GRID)
+    e, _ = B.evaluate(_scores(spark, d), SMALL_GRID)
     return e.select("cand_idx", *[fix(c, places=8) for c in ("ap_mean", "ap_lcb", "ap_delta_lcb", "prior_drift_ucb", "brier_ucb", "p_loss_ucb")], F.col("violations").cast("long").alias("violations"))
 
 
 @query
 def blend_select(spark, d):
-    return B.choose(_inner(spark, d), SMALL_GRID)
+    return B.choose(_scores(spark, d), SMALL_GRID)
 
 
 @query
 def blend_select_full_grid(spark, d):
-    return B.choose(_inner(spark, d), B.BlendParams())
+    return B.choose(_scores(spark, d), B.BlendParams())
 
 
 # --- parameters and plans ---
