@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -103,6 +104,70 @@ def top_methods(df: DataFrame, n: int = 20) -> DataFrame:
     return df.groupBy("method").agg(F.avg("pr_auc").alias("mean_pr_auc")).orderBy(F.desc("mean_pr_auc"), "method").limit(n)
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """One row: n_rows, n_datasets, n_methods, seeds (sorted), first_fold, last_fold of result rows."""
+    seeds = F.array_sort(F.collect_set("seed"))
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("dataset").alias("n_datasets"), F.count_distinct("method").alias("n_methods"), seeds.alias("seeds"), F.min("fold").alias("first_fold"), F.max("fold").alias("last_fold"))
+
+
+def lookup(df: DataFrame, code: str, column: str, key: str = "code") -> float:
+    """The value of ``column`` in the row named ``code`` of a summary table; KeyError if there is none."""
+    found = df.filter(F.col(key) == code).select(column).limit(1).collect()
+    if not found:
+        raise KeyError(f"no row {code!r}")
+    return found[0][0]
+
+
+@dataclass(frozen=True)
+class Expected:
+    """Published figures that result rows and summary tables must meet; a None is not checked."""
+
+    rows: int | None = None
+    datasets: int | None = None
+    seeds: tuple[int, ...] | None = None
+    folds: int | None = None
+    blocks: int | None = None
+    champion_mean: float | None = None
+    #: method -> (mean difference to the champion, its wins) over the blocks.
+    against: dict[str, tuple[float, int]] = field(default_factory=dict)
+    #: (code, column) -> value in the table of pairs and in that of ranks.
+    pairs: dict[tuple[str, str], float] = field(default_factory=dict)
+    ranks: dict[tuple[str, str], float] = field(default_factory=dict)
+
+
+def alignment(results: DataFrame | None, champion: str, expected: Expected, pairs: DataFrame | None = None, ranks: DataFrame | None = None, tolerance: float = 5e-10) -> list[str]:
+    """What differs from ``expected``, as sentences; none if all agrees.  In ``champion`` and the keys of ``against`` a * stands
+    for the classifier that a method's name holds."""
+    wrong: list[str] = []
+
+    def same(what: str, got, want, near: bool = False) -> None:
+        if want is not None and not (close(float(got), want, tolerance) if near else got == want):
+            wrong.append(f"{what}: {got} instead of {want}")
+
+    if results is not None:
+        df = method_key(results)
+        df = df.withColumn("method", F.when(F.col("method") == F.col("classifier"), F.col("method")).otherwise(F.replace("method", F.col("classifier"), F.lit("*"))))
+        r = shape(df).first()
+        same("rows", r["n_rows"], expected.rows)
+        same("datasets", r["n_datasets"], expected.datasets)
+        same("seeds", tuple(r["seeds"]), expected.seeds)
+        same("folds", (r["first_fold"], r["last_fold"]), None if expected.folds is None else (1, expected.folds))
+        if expected.champion_mean is not None:
+            same("mean of the champion", df.filter(F.col("method") == champion).agg(F.avg("pr_auc")).first()[0] or math.nan, expected.champion_mean, True)
+        names = [champion, *expected.against]
+        table = block_table(df, names).toDF("classifier", "dataset", *[f"m{i}" for i in range(len(names))])
+        whole = table.filter(" and ".join(f"m{i} is not null" for i in range(len(names)))).count()
+        same("complete blocks", whole, expected.blocks)
+        for i, (name, (delta, won)) in enumerate(expected.against.items(), 1):
+            d = table.agg(F.avg(F.col("m0") - F.col(f"m{i}")).alias("d"), F.count_if(F.col("m0") > F.col(f"m{i}")).alias("w")).first()
+            same(f"mean difference to {name}", math.nan if d["d"] is None else d["d"], delta, True)
+            same(f"wins against {name}", d["w"], won)
+    for name, df, wanted in (("pairs", pairs, expected.pairs), ("ranks", ranks, expected.ranks)):
+        for (code, column), value in wanted.items() if df is not None else ():
+            same(f"{column} of {code} in {name}", lookup(df, code, column), value, True)
+    return wrong
+
+
 def close(actual: float, expected: float, tolerance: float = 5e-10) -> bool:
     """Whether two numbers agree; a number that is not finite agrees with nothing."""
     return math.isfinite(actual) and math.isfinite(expected) and abs(actual - expected) <= tolerance

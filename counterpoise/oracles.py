@@ -293,3 +293,12 @@ FROM a FULL JOIN b USING (dataset, seed, fold, method) WHERE a.n IS DISTINCT FRO
 ORACLE_SQL["value_diff"] = f"""WITH {TWO} SELECT method, round(a.m - b.m, 9) AS delta FROM (SELECT method, avg(pr_auc) AS m FROM mk GROUP BY method) a
 FULL JOIN (SELECT method, avg(pr_auc) AS m FROM re GROUP BY method) b USING (method) ORDER BY abs(delta) DESC NULLS LAST, method LIMIT 20"""
 ORACLE_SQL["top_methods"] = f"WITH {RES} SELECT method, {r('avg(pr_auc)', 'mean_pr_auc')} FROM re GROUP BY method ORDER BY avg(pr_auc) DESC, method LIMIT 20"
+ORACLE_SQL["result_shape"] = f"""WITH {RES} SELECT count(*) AS n_rows, count(DISTINCT dataset) AS n_datasets, count(DISTINCT method) AS n_methods,
+  (SELECT string_agg(seed, ',' ORDER BY seed) FROM (SELECT DISTINCT CAST(seed AS VARCHAR) AS seed FROM re)) AS seeds, CAST(min(fold) AS BIGINT) AS first_fold, CAST(max(fold) AS BIGINT) AS last_fold FROM re"""
+ORACLE_SQL["scalar_lookup"] = "SELECT c_name AS code, c_acctbal AS value FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer)"
+ORACLE_SQL["tube_residual"] = f"""WITH {emb()}, {BOX}, un AS (SELECT list_transform(hi, lambda x: x / sqrt(list_inner_product(hi, hi))) AS v FROM box),
+a AS (SELECT row_id, f, v, list_inner_product(f, v) AS a FROM emb, un)
+SELECT row_id, {r('sqrt(list_inner_product(list_transform(list_zip(f, v), lambda t: t[1] - a * t[2]), list_transform(list_zip(f, v), lambda t: t[1] - a * t[2])))', 'residual')} FROM a"""
+ORACLE_SQL["positive_scores"] = f"""WITH {emb()}, b AS (SELECT min(f[1]) AS lo, max(f[1]) AS hi FROM emb)
+SELECT row_id, 'raw' AS kind, {r('CASE WHEN hi - lo > 1e-12 THEN (f[1] - lo) / (hi - lo) ELSE 0.5 END', 'score')} FROM emb, b
+UNION ALL SELECT row_id, 'probability', {r('abs(f[2])', 'score')} FROM emb UNION ALL SELECT row_id, 'one class', 0.0::DOUBLE AS score FROM emb"""

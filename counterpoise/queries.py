@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -481,18 +482,46 @@ def top_methods(spark, d):
     return T.top_methods(T.pseudo_results(spark)).select("method", fix("mean_pr_auc"))
 
 
-# --- learners: no SQL form ---
+@query
+def result_shape(spark, d):
+    s = T.shape(T.pseudo_results(spark))
+    return s.select("n_rows", "n_datasets", "n_methods", F.array_join(F.transform("seeds", lambda x: x.cast("string")), ",").alias("seeds"), F.col("first_fold").cast("long").alias("first_fold"), F.col("last_fold").cast("long").alias("last_fold"))
+
+
+@query
+def scalar_lookup(spark, d):
+    """The balance of the customer with the smallest key, found by its name."""
+    c = R.table(spark, d, "customer").select(F.col("c_name").alias("code"), "c_acctbal", "c_custkey")
+    code = c.orderBy("c_custkey").select("code").first()["code"]
+    return spark.createDataFrame([(code, T.lookup(c, code, "c_acctbal"))], "code string, value double")
+
+
+@query
+def tube_residual(spark, d):
+    e = R.emb(spark, d).crossJoin(F.broadcast(R.bounds_row(R.emb(spark, d))))
+    return e.select("row_id", fix(S.residual(F.col("features"), S.unit(F.col("hi"))), "residual"))
 
 
-def _fold(spark, d):
-    at = written(R.folds(R.emb(spark, d), 5))
-    return at.filter("fold <> 1").drop("fold"), at.filter("fold = 1").drop("fold")
+@query
+def positive_scores(spark, d):
+    """Decision values (the first component) scaled over all rows; the shares of two components as probabilities."""
+    e = R.emb(spark, d)
+    raw = learners.positive_scores(e.select("row_id", "y", F.get("features", F.lit(0)).alias("raw"))).select("row_id", F.lit("raw").alias("kind"), fix("score"))
+    p = learners.positive_scores(e.select("row_id", "y", F.array(F.lit(0.25), F.abs(F.get("features", F.lit(1)))).alias("probability")), [0.0, 1.0])
+    one = learners.positive_scores(e.select("row_id", "y", F.array(F.lit(1.0)).alias("probability")), [0.0])
+    return raw.union(p.select("row_id", F.lit("probability"), fix("score"))).union(one.select("row_id", F.lit("one class"), fix("score")))
+
+
+# --- learners: no SQL form ---
+
 
+def _learner(name: str, trees: int = 16, weighted: bool = False, folds: int = 5) -> Query:
+    """Out-of-fold scores of every row."""
 
-def _learner(name: str, trees: int = 16, weighted: bool = False) -> Query:
     def run(spark, d):
-        train, test = _fold(spark, d)
-        return learners.fit_score(train, test, name, trees, 42, weighted)
+        at = written(R.folds(R.emb(spark, d), folds))
+        parts = [learners.fit_score(at.filter(F.col("fold") != f), at.filter(F.col("fold") == f), name, trees, 42, weighted) for f in range(1, folds + 1)]
+        return reduce(DataFrame.union, parts)
 
     run.__name__ = f"learner_{name}{'_weighted' if weighted else ''}"
     return query(run)
@@ -505,10 +534,10 @@ _learner("rf", weighted=True)
 
 @query
 def two_branch_fit_predict(spark, d):
-    train, test = _fold(spark, d)
+    """Fitted on all rows, which it then scores."""
     p = B.BlendParams(alphas=(0.0, 0.5), modes=("prob", "priorcorr_logit"), inner_folds=2, inner_repeats=1, total_budget=8)
-    out, _ = X.fit_blend(train, test, "rf", "smote", p=p)
-    return out
+    e = R.emb(spark, d)
+    return X.TwoBranchClassifier("rf", "smote", params=p).fit(e).transform(e)
 
 
 @query

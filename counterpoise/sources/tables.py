@@ -48,10 +48,22 @@ def load_csv(spark: SparkSession, path: str, target: str | None = None, name: st
     return as_dataset(df, target, name or path.rstrip("/").rpartition("/")[2].rpartition(".")[0], "csv")
 
 
+def catalogue(spark: SparkSession, data_dir: str) -> list[str]:
+    """The names of the Parquet datasets in a folder of any store that Spark reads; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(data_dir)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    return sorted(x.getPath().getName().removesuffix(".parquet") for x in store.listStatus(at) if x.getPath().getName().endswith(".parquet"))
+
+
 def load_dataset(spark: SparkSession, name_or_path: str, target: str | None = None, data_dir: str = "data") -> frames.Dataset:
     """A .csv path, a .parquet path, or the name of a Parquet dataset (row_id, features, y) below ``data_dir``."""
     if name_or_path.endswith(".csv"):
         return load_csv(spark, name_or_path, target)
+    if not name_or_path.endswith(".parquet") and name_or_path not in (known := catalogue(spark, data_dir)):
+        raise KeyError(f"unknown dataset {name_or_path!r}; {data_dir} has: {', '.join(known) or 'none'}")
     path = name_or_path if name_or_path.endswith(".parquet") else f"{data_dir}/{name_or_path}.parquet"
     df = spark.read.parquet(path)
     name = path.rpartition("/")[2].removesuffix(".parquet")
@@ -60,6 +72,11 @@ def load_dataset(spark: SparkSession, name_or_path: str, target: str | None = No
     return as_dataset(df, target, name, "parquet")
 
 
+def load_datasets(spark: SparkSession, names: list[str], target: str | None = None, data_dir: str = "data") -> list[frames.Dataset]:
+    """The datasets of names, paths and group names (all of ``data_dir``), each once, in the order of first mention."""
+    return [load_dataset(spark, x, target, data_dir) for x in resolve(names, catalogue(spark, data_dir))]
+
+
 def write_results(df: DataFrame, output: str, form: str = "csv") -> str:
     """Write a result table; as CSV with a header by default."""
     df.write.mode("overwrite").option("header", True).format(form).save(output)

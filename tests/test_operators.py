@@ -153,9 +153,108 @@ def test_learners_rank_separable_data(spark, blobs, name):
     assert out.filter("score < 0 or score > 1").count() == 0
 
 
-def test_large_training_data_goes_to_distributed_trees(spark, blobs, monkeypatch):
+@pytest.mark.parametrize("name", ["extratrees", "random_subspace_trees", "decision_tree", "rus_boost"])
+def test_larger_training_data_gives_the_same_members(spark, blobs, monkeypatch, name):
+    scores = lambda: {r["row_id"]: round(r["score"], 9) for r in learners.fit_score(blobs, blobs, name, 4).collect()}
+    one = scores()
     monkeypatch.setattr(learners, "BLOCK_BYTES", 10)
-    assert learners.fit_score(blobs, blobs, "rf", 5).count() == 75
+    monkeypatch.setattr(learners, "PIECE_ROWS", 7)
+    assert scores() == one and len(one) == 75
+    monkeypatch.setattr(learners, "TASK_BYTES", 100)
+    with pytest.raises(ValueError, match="distributed_forest"):
+        scores()
+    if name == "decision_tree":
+        assert learners.fit_score(blobs, blobs, "distributed_forest", 5).count() == 75
+
+
+def test_positive_scores_of_every_kind(spark):
+    df = spark.createDataFrame([(1, 0, 2.0, [0.3, 0.7], [1.0]), (2, 1, 4.0, [0.6, 0.4], [1.0])], "row_id long, y int, raw double, p array<double>, one array<double>")
+    got = lambda x, *a: [r["score"] for r in learners.positive_scores(x, *a).orderBy("row_id").collect()]
+    assert got(df.select("row_id", "y", F.col("p").alias("probability")), [0.0, 1.0]) == [0.7, 0.4]
+    assert got(df.select("row_id", "y", F.col("p").alias("probability")), [1.0, 0.0]) == [0.3, 0.6]
+    assert got(df.select("row_id", "y", F.col("one").alias("probability"))) == [0.0, 0.0]
+    assert got(df.select("row_id", "y", "raw")) == [0.0, 1.0] and got(df.select("row_id", "y", F.lit(3.0).alias("raw"))) == [0.5, 0.5]
+    assert got(df.select("row_id", "y", F.col("y").alias("prediction"))) == [0.0, 1.0]
+
+
+def test_folds_by_ranges_are_the_same(spark, blobs, monkeypatch):
+    one = {r["row_id"]: r["fold"] for r in R.folds(blobs, 4).collect()}
+    monkeypatch.setattr(R, "ONE_TASK", 10)
+    assert {r["row_id"]: r["fold"] for r in R.folds(blobs, 4).collect()} == one
+
+
+def test_prepared_features(spark):
+    """Median and deviation of the training rows alone; dimensions that training has no value for go."""
+    train = spark.createDataFrame([(0, [1.0, None, 5.0], 0), (1, [3.0, float("nan"), 5.0], 1), (2, [None, None, 5.0], 1)], "row_id long, features array<double>, y int")
+    test = spark.createDataFrame([(9, [4.0, 7.0, None], 0)], "row_id long, features array<double>, y int")
+    a, b = R.prepared(train, test)
+    v = np.array([1.0, 3.0, 2.0])
+    assert [np.round(r["features"], 9).tolist() for r in a.orderBy("row_id").collect()] == [[round(x, 9), 0.0] for x in (v - 2.0) / v.std()]
+    assert np.round(b.first()["features"], 9).tolist() == [round((4.0 - 2.0) / v.std(), 9), 0.0]
+
+
+def test_runner_copes_with_missing_features(spark, blobs):
+    df = blobs.withColumn("features", F.when(F.col("row_id") % 7 == 0, F.transform("features", lambda v: F.lit(None).cast("double"))).otherwise(F.transform("features", lambda v: v * 1000)))
+    p = B.BlendParams(alphas=(0.0, 0.5), modes=("prob",), inner_folds=2, inner_repeats=1)
+    names = X.Names(published="pub")
+    out = X.run([R.Dataset(df, "d", "made")], ["rf"], ["smote"], ("native", "oversampler", "blend"), [1], 2, 4, p=p, names=names)
+    assert out.schema.simpleString() == spark.createDataFrame([], X.RESULT).schema.simpleString()
+    rows = out.collect()
+    assert len(rows) == 6 and all(r["roc_auc"] > 0.6 for r in rows)
+    by = {r["method"]: r for r in rows}
+    assert by["blend_rf_smote"]["paper_method_alias"] == "pub_rf_smote" and by["rf_none"]["paper_method_alias"] == "rf_none"
+    assert by["rf_smote"]["n_train_resampled"] > by["rf_smote"]["n_train_original"] and by["blend_rf_smote"]["estimators_by_component"].count("+") == 1
+    assert X.published_alias("rf", "outward_ladder", "logit", names) == "pub_rf_fast_outward_ladder_smote_logit"
+
+
+def test_two_branch_classifier_with_any_estimator(spark, blobs):
+    from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+
+    p = B.BlendParams(alphas=(0.0, 0.5), modes=("prob",), inner_folds=2, inner_repeats=1, total_budget=None)
+    forest = RandomForestClassifier(numTrees=6, labelCol="label", featuresCol="v")
+    assert X.budget_of(forest, None) == 6 and X.sized(forest, 3, 0).getNumTrees() == 1 and forest.getNumTrees() == 6
+    model = X.TwoBranchClassifier(forest, "smote", params=p).fit(blobs)
+    assert model.original_budget + model.shadow_budget == 6 and model.inner_cv_splits == 2
+    out = model.transform(blobs.drop("y")).collect()
+    assert len(out) == 75 and all(0 <= r["score"] <= 1 for r in out)
+    assert X.fit_one(blobs, blobs, LinearSVC(maxIter=5, featuresCol="v"), None, 1).agg(F.min("score"), F.max("score")).first()[:] == (0.0, 1.0)
+
+
+def test_catalogue_names_what_there_is(spark, blobs, tmp_path):
+    blobs.select("row_id", "features", "y").write.parquet(f"{tmp_path}/b.parquet")
+    blobs.select("row_id", "features", "y").write.parquet(f"{tmp_path}/a.parquet")
+    assert [d.name for d in tables.load_datasets(spark, ["b", "all"], data_dir=str(tmp_path))] == ["b", "a"]
+    with pytest.raises(KeyError, match="a, b"):
+        tables.load_dataset(spark, "c", data_dir=str(tmp_path))
+
+
+# Published figures of the two summary tables: p and Holm's p of 23 comparisons.
+PUBLISHED = [
+    (0.9099259416588849, 0.9099259416588849), (0.19303357829106255, 0.3860671565821251), (0.03870231674182675, 0.154809266967307), (0.004611068421631857, 0.032277478951423),
+    (0.008092181753423106, 0.04855309052053863), (0.020297385738033597, 0.10148692869016798), (0.00047746854422400597, 0.004297216898016053), (0.001693571612640736, 0.013548572901125887),
+    (1.545260604349585e-05, 0.00016997866647845437), (0.1276485010161798, 0.3829455030485394), (8.248263326236009e-07, 1.0722742324106813e-05), (3.9370849855511967e-07, 5.511918979771675e-06),
+    (8.847071704372732e-06, 0.00010616486045247279), (1.1590563067057968e-08, 1.738584460058695e-07), (2.307987591597135e-10, 4.154377664874843e-09), (0.0001145776299314279, 0.001145776299314279),
+    (1.2838031187930553e-10, 2.5676062375861106e-09), (2.3884230291889263e-10, 4.154377664874843e-09), (2.4555124640692147e-09, 3.9288199425107434e-08), (3.244593450446946e-11, 6.813646245938587e-10),
+    (1.329161164796056e-10, 2.5676062375861106e-09), (4.411918426246165e-13, 1.0147412380366179e-11), (7.306812225888249e-12, 1.6074986896954149e-10),
+]
+
+
+def test_holm_meets_published_figures(spark):
+    df = spark.createDataFrame([(f"c{i:02d}", p) for i, (p, _) in enumerate(PUBLISHED)], "code string, p double")
+    got = {r["code"]: r["holm_p"] for r in T.holm(df).collect()}
+    assert all(abs(got[f"c{i:02d}"] - h) <= 1e-12 + 1e-9 * h for i, (_, h) in enumerate(PUBLISHED))
+
+
+def test_alignment_says_what_differs(spark):
+    rows = [(f"d{d}", c, s, f, m.replace("*", c), 0.5 + 0.1 * k + 0.01 * d) for d in range(3) for c in ("rf", "extratrees") for s in (42, 44) for f in (1, 2) for k, m in enumerate(("*_smote", "blend_*_smote"))]
+    df = spark.createDataFrame(rows, "dataset string, classifier string, seed int, fold int, method string, pr_auc double").withColumn("paper_method_alias", F.col("method"))
+    pairs = spark.createDataFrame([("A", 0.25)], "code string, holm_p double")
+    good = T.Expected(rows=48, datasets=3, seeds=(42, 44), folds=2, blocks=6, champion_mean=0.61, against={"*_smote": (0.1, 6)}, pairs={("A", "holm_p"): 0.25})
+    assert T.alignment(df, "blend_*_smote", good, pairs) == []
+    bad = T.Expected(rows=47, datasets=3, seeds=(42,), folds=3, blocks=5, champion_mean=0.62, against={"*_smote": (0.2, 5)}, pairs={("A", "holm_p"): 0.26})
+    assert len(T.alignment(df, "blend_*_smote", bad, pairs)) == 8
+    with pytest.raises(KeyError):
+        T.lookup(pairs, "B", "holm_p")
 
 
 def test_selection_falls_back_to_the_default(spark):
