@@ -32,7 +32,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "path string, records long, compressed_bytes long, sha256 string"
 READ = (
     "page_id long, url string, record_type string, refers_to long, payload_digest string, "
-    "payload_bytes long, payload binary, path string, position long"
+    "payload_bytes long, payload binary, path string, position long, record_id string, refers_id string"
 )
 
 
@@ -40,8 +40,9 @@ def _digest(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
-def _record_id(page_id: int | None, url: str, n: int) -> str:
-    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{n}|{url}").urn
+def _record_id(page_id: int | None, url: str, digest: str, n: int) -> str:
+    """n counts the equal records before it, so the first of them can be named from anywhere."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{n}|{digest}|{url}").urn
 
 
 def _block(kind: str, headers: list[tuple[str, str]], body: bytes) -> bytes:
@@ -58,14 +59,25 @@ def _http(body: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
 
 
-def _response(page_id: int | None, url: str, n: int, payload: bytes) -> bytes:
-    block = _http(payload) + payload
-    return _block("response", [("WARC-Record-ID", f"<{_record_id(page_id, url, n)}>"), ("WARC-Date", EPOCH), ("WARC-Target-URI", url), ("X-Page-Id", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", _digest(payload)), ("X-Payload-Length", str(len(payload))), ("WARC-Block-Digest", _digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
+def _record(kind: str, page_id: int | None, url: str, n: int, payload: bytes, refers: tuple[int, str] | None) -> bytes:
+    digest = _digest(payload)
+    block = _http(payload) + (payload if refers is None else b"")
+    headers = [("WARC-Record-ID", f"<{_record_id(page_id, url, digest, n)}>"), ("WARC-Date", EPOCH), ("WARC-Target-URI", url), ("X-Page-Id", "" if page_id is None else str(page_id))]
+    if refers is not None:
+        headers += [("WARC-Refers-To", f"<{_record_id(*refers, digest, 0)}>"), ("WARC-Refers-To-Target-URI", refers[1]), ("WARC-Refers-To-Date", EPOCH), ("X-Refers-To-Page-Id", str(refers[0])), ("WARC-Profile", PROFILE)]
+    headers += [("WARC-Payload-Digest", digest), ("X-Payload-Length", str(len(payload))), ("WARC-Block-Digest", _digest(block)), ("Content-Type", "application/http; msgtype=response")]
+    return _block(kind, headers, block)
 
 
-def _revisit(page_id: int | None, url: str, n: int, payload: bytes, refers: int) -> bytes:
-    block = _http(payload)
-    return _block("revisit", [("WARC-Record-ID", f"<{_record_id(page_id, url, n)}>"), ("WARC-Date", EPOCH), ("WARC-Target-URI", url), ("X-Page-Id", "" if page_id is None else str(page_id)), ("WARC-Refers-To", f"<page:{refers}>"), ("WARC-Profile", PROFILE), ("WARC-Payload-Digest", _digest(payload)), ("X-Payload-Length", str(len(payload))), ("WARC-Block-Digest", _digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
+def _info(shard: int, n: int) -> bytes:
+    """The record that opens a file."""
+    body = b"format: WARC File Format 1.1\r\nsoftware: counterpoise\r\n"
+    return _block("warcinfo", [("WARC-Record-ID", f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'info|{shard}|{n}').urn}>"), ("WARC-Date", EPOCH), ("WARC-Block-Digest", _digest(body)), ("Content-Type", "application/warc-fields")], body)
+
+
+def _member(raw: bytes, level: int) -> bytes:
+    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return pack.compress(raw) + pack.flush()
 
 
 class _Roll:
@@ -78,8 +90,10 @@ class _Roll:
 
     def put(self, member: bytes) -> None:
         if self.out is None:
+            head = _member(_info(self.shard, self.n), 6)
             self.temp = f"{self.root}/_temporary/{self.attempt}/{self.n:05d}"
-            self.out, self.size, self.records, self.sha = self.store.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
+            self.out, self.size, self.records, self.sha = self.store.open_output_stream(self.temp, compression=None), len(head), 0, hashlib.sha256(head)
+            self.out.write(head)
         self.out.write(member)
         self.size, self.records = self.size + len(member), self.records + 1
         self.sha.update(member)
@@ -97,7 +111,7 @@ class _Roll:
 
 
 def write(records: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, level: int = 6, shards: int | None = None) -> str:
-    """Write ``records`` (page_id, url, html, refers_to) below ``uri``; return the manifest's path.
+    """Write ``records`` (page_id, url, html, refers_to, refers_url) below ``uri``; return the manifest's path.
 
     Order: by page_id, then url, then html.  Nulls: html is written as an empty payload, url as an empty
     target, a page_id as an empty field.  An empty table gives a manifest without files.
@@ -110,20 +124,19 @@ def write(records: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, level: int
         at = TaskContext.get()
         roll, done, last, same = _Roll(uri, at.partitionId(), f"{at.partitionId()}-{at.taskAttemptId()}-{uuid.uuid4().hex}"), [], None, 0
         for batch in batches:
-            for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for page_id, url, html, refers, of in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 payload, url = (html or "").encode("utf-8", "surrogatepass"), _clean(url)
-                same = same + 1 if (page_id, url) == last else 0
-                last = (page_id, url)
-                raw = _response(page_id, url, same, payload) if refers is None else _revisit(page_id, url, same, payload, refers)
-                pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                roll.put(pack.compress(raw) + pack.flush())
+                same = same + 1 if (page_id, url, payload) == last else 0
+                last = (page_id, url, payload)
+                raw = _record("response", page_id, url, same, payload, None) if refers is None else _record("revisit", page_id, url, same, payload, (refers, _clean(of)))
+                roll.put(_member(raw, level))
                 if roll.size >= roll_bytes:
                     done.append(roll.close())
         done += [x for x in [roll.close()] if x]
         if done:
             yield pa.RecordBatch.from_pylist(done)
 
-    keys = ("page_id", "url", "html", "refers_to")
+    keys = ("page_id", "url", "html", "refers_to", "refers_url")
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = records.select(*keys).repartitionByRange(n, "page_id", "url").sortWithinPartitions("page_id", "url", "html")
     # Each row names a finished file; the rows are few (one a file), and only these are committed.
@@ -146,7 +159,7 @@ def _parse(head: bytes) -> dict[str, str]:
 
 
 def records_of(stream, path: str) -> Iterator[dict]:
-    """The records of one archive; digests and lengths are checked."""
+    """The responses and revisits of one archive; digests and lengths of all records are checked."""
     at = 0
     while True:
         line = stream.readline()
@@ -159,11 +172,13 @@ def records_of(stream, path: str) -> Iterator[dict]:
         body = stream.read(int(h["Content-Length"]))
         if stream.read(4) != b"\r\n\r\n" or _digest(body) != h["WARC-Block-Digest"]:
             raise ValueError(f"damaged record {at} in {path}")
+        if h["WARC-Type"] == "warcinfo":
+            continue
         payload = body.partition(b"\r\n\r\n")[2] if h["WARC-Type"] == "response" else None
         if payload is not None and _digest(payload) != h["WARC-Payload-Digest"]:
             raise ValueError(f"payload digest differs at record {at} in {path}")
-        refers = h.get("WARC-Refers-To", "")
-        yield {"page_id": int(h["X-Page-Id"]) if h["X-Page-Id"] else None, "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "refers_to": int(refers[6:-1]) if refers else None, "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": int(h["X-Payload-Length"]), "payload": payload, "path": path, "position": at}
+        refers = h.get("X-Refers-To-Page-Id", "")
+        yield {"page_id": int(h["X-Page-Id"]) if h["X-Page-Id"] else None, "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "refers_to": int(refers) if refers else None, "record_id": h["WARC-Record-ID"], "refers_id": h.get("WARC-Refers-To"), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": int(h["X-Payload-Length"]), "payload": payload, "path": path, "position": at}
         at += 1
 
 
@@ -172,7 +187,7 @@ def read(spark: SparkSession, manifest: str, uri: str, payloads: bool = True) ->
 
     ``payloads=False`` leaves the payload column null (it is checked against its digest all the same).
     """
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("position", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("position", pa.int64()), ("record_id", pa.string()), ("refers_id", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(uri)
@@ -194,8 +209,8 @@ def read(spark: SparkSession, manifest: str, uri: str, payloads: bool = True) ->
 
 
 def with_refers(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, refers_to: for payloads of at least SMALLEST_SHARED bytes that an earlier page
-    (smaller page_id) has too, that page's id; else null.
+    """page_id, url, html, refers_to, refers_url: for payloads of at least SMALLEST_SHARED bytes that an earlier page
+    (smaller page_id) has too, that page's id and url; else null.
 
     Digests alone are compared; the pages are then joined to the revisits found, which are broadcast if there are
     at most ``SMALL_REVISITS`` (about 80 bytes each), and else by a join that can be split.  A payload that a third
@@ -203,12 +218,12 @@ def with_refers(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= SMALLEST_SHARED, F.unhex(F.sha2("html", 256))))
-    short = rows.filter("digest is not null and page_id is not null").select("page_id", "digest")
-    first = short.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
-    revisits = cut(short.join(first, "digest").filter("refers_to < page_id").distinct(), "warc-revisits")
+    short = cut(rows.filter("digest is not null and page_id is not null").select("page_id", "url", "digest"), "warc-digests")
+    first = short.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url"))
+    revisits = cut(short.drop("url").join(first, "digest").filter("refers_to < page_id").distinct(), "warc-revisits")
     if revisits.count() <= SMALL_REVISITS:
         revisits = F.broadcast(revisits)
-    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to", "refers_url")
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFrame:

@@ -123,6 +123,10 @@ def test_licences(spark, empty):
     assert (0, "MIT", "MIT", 1) in got and (4, None, "MIT", 1) in got and (2, None, "", 0) in got and (5, None, "", 0) in got
     assert sum(g[0] == 1 and g[2] == "LicenseRef-all-rights-reserved,MIT" for g in got) == 2
     assert licences.scan(empty).count() == 0 and mit
+    bsd = next(t for i, t in licences.KNOWN if i == "BSD-3-Clause")
+    files = [(1, f"BSD 3-Clause License\n\nCopyright (c) 2021, Someone\nAll rights reserved.\n\n{bsd}\n"), (2, f"Copyright 2021 X. All rights reserved.\n{bsd}"), (3, next(t for i, t in licences.KNOWN if i == "Unlicense"))]
+    got = {r["doc_id"]: r["text_license"] for r in licences.scan(spark.createDataFrame(files, "doc_id long, text string")).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "Unlicense"}
 
 
 # --- decontamination ---
@@ -345,6 +349,12 @@ def test_warc(spark, tmp_path):
         assert r["payload_digest"] == hashlib.sha256(body).hexdigest() and r["payload_bytes"] == len(body)
         assert r["record_type"] == ("revisit" if r["page_id"] in (5, 9) else "response") and r["refers_to"] == (3 if r["page_id"] in (5, 9) else None)
         assert r["payload"] == (None if r["record_type"] == "revisit" else body)
+    # Every revisit names the record that it repeats, and every file opens with a description of itself.
+    names = {r["record_id"]: r for r in got}
+    assert len(names) == len(got) and all(names[r["refers_id"]]["page_id"] == r["refers_to"] for r in got if r["record_type"] == "revisit")
+    import gzip
+
+    assert all(gzip.open(f).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for f in (tmp_path / "w").glob("*.warc.gz"))
     assert not (tmp_path / "w/_temporary").exists()
     a, b = (sorted((r["path"], r["sha256"]) for r in spark.read.json(m).collect()) for m in (manifest, warc.write(warc.with_refers(df), f"file://{tmp_path}/v", 600, shards=2)))
     assert a == b
