@@ -159,4 +159,24 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
+
+
+def _words_sql(table_: str, key: str) -> str:
+    return f"SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table_}"
+
+
+# Every window of an item's length in every document that shares a shingle (or all words of a shorter item) with it.
+OP4_SQL = f"""
+WITH d AS ({_words_sql('documents', 'doc_id')}), i AS (SELECT item_id, w, len(w) AS n, greatest(len(w) - {SHINGLE - 1}, 1) AS whole FROM ({_words_sql('benchmark', 'item_id')}) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT least(n, {SHINGLE}) AS size FROM i),
+dg AS (SELECT doc_id, size, p, array_to_string(list_slice(w, p + 1, p + size), ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS p FROM d, sizes)),
+ig AS (SELECT item_id, least(n, {SHINGLE}) AS size, array_to_string(list_slice(w, p, p + {SHINGLE - 1}), ' ') AS g, count(*) AS c FROM (SELECT item_id, w, n, unnest(range(1, whole + 1)) AS p FROM i) GROUP BY ALL),
+h AS (SELECT dg.doc_id, dg.p, ig.item_id, dg.g, ig.c FROM dg JOIN ig USING (size, g)),
+q AS (SELECT DISTINCT h.doc_id, h.item_id, i.n, i.whole, len(d.w) AS m FROM h JOIN i USING (item_id) JOIN d USING (doc_id)),
+v AS (SELECT *, unnest(range(0, greatest(m - n, 0) + 1)) AS s FROM q),
+x AS (SELECT v.doc_id, v.item_id, v.n, v.whole, v.m, v.s, h.g, least(count(*), any_value(h.c)) AS c FROM v JOIN h ON h.doc_id = v.doc_id AND h.item_id = v.item_id AND h.p >= v.s AND h.p < v.s + v.whole GROUP BY v.doc_id, v.item_id, v.n, v.whole, v.m, v.s, h.g),
+y AS (SELECT doc_id, item_id, n, s, sum(c) AS shared, whole + greatest(least(n, m) - {SHINGLE - 1}, 1) - sum(c) AS total FROM x GROUP BY doc_id, item_id, n, s, whole, m)
+SELECT doc_id, item_id, CAST(s AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, CAST(shared AS INTEGER) AS shared, CAST(total AS INTEGER) AS total FROM y
+WHERE {DEN} * shared >= {NUM} * total QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) = 1
+"""

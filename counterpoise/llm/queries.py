@@ -17,6 +17,9 @@ QUERIES = {
     "op10_suffixes": suffixes.op10_suffixes,
 }
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_minhash": minhash.OP8_SQL,
+    "op10_suffixes": suffixes.OP10_SQL,
     "op3_licences": licences.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_topk": topk.OP9_SQL,

@@ -544,5 +544,21 @@ def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, bucket_anchors:
     return cutting(packed, marked, keep_bytes)
 
 
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * (4096 + {LENGTH - 1})) AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2, 1), 4096)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS p, substr(h, 2 * i + 1, {2 * LENGTH}) AS w FROM (SELECT doc_id, o, h, unnest(range(0, least(4096, length(h) // 2 - {LENGTH - 1}))) AS i FROM k)),
+f AS (SELECT w, min(doc_id) AS first_id FROM w GROUP BY w),
+r AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM w JOIN f USING (w) WHERE doc_id > first_id),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM r),
+s AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+x AS (SELECT t.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS z, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN x.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
