@@ -14,7 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, spread, table
 
 SHINGLE, NUM, DEN = 5, 75, 100
 BITS, BLOCKS, RADIUS = 64, 4, 15
@@ -159,7 +159,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
+    return contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("hamming")
 
 
 def _words_sql(table_: str, key: str) -> str:

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import spread, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
@@ -115,7 +115,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, key: str = "doc_i
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))
 
 
 def _sql() -> str:

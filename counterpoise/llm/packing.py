@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, table
+from .common import cut, spread, table
 
 CAPACITY, GRAIN, END_ID, SALT_ROWS = 4096, 16, 2, 5000
 TOKENIZER = "word_bpe_49k.json"
@@ -247,4 +247,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, salt_r
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(cut(tokenise(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces"))
+    return pack(cut(tokenise(spread(table(spark, sf_dir, "documents")), tokenizer_path()), "pieces"))

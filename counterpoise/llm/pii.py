@@ -15,7 +15,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, let, spread, table
 
 # Kinds in the order in which equal starts are listed, and their patterns.  The patterns match what the
 # plain forms in the comments match; possessive quantifiers and look-behinds only keep long runs from being tried from
@@ -70,11 +70,6 @@ BEFORE = 40  # code points of context
 CHUNK = 512  # elements of an array that are folded at once
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once: inside a lambda a column expression would be computed for each element."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def chunks(x: Column) -> Column:
     """An array in slices of CHUNK elements."""
     n = F.size(x)
@@ -348,4 +343,4 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(detect(table(spark, sf_dir, "documents"), keep_text=False))
+    return report(detect(spread(table(spark, sf_dir, "documents")), keep_text=False))

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import let, spread, table
 
-BUCKETS, TRAIN_ROWS, KEEP = 2048, 6000, 0.5  # buckets of shapes; as many of words and of pairs follow
+BUCKETS, TRAIN_ROWS, KEEP = 2048, 4000, 0.5  # buckets of shapes; as many of words and of pairs follow
 AGAIN = "⟳"
 GOOD, BAD, ABSTAIN = "1", "0", "2"
 
@@ -136,20 +136,15 @@ def places(buckets: int = BUCKETS) -> Column:
     """The features of a document, on the columns of ``shaped``: for each word the bucket of its shape, of itself and of the
     pair that it makes with the next."""
     at = lambda part, *of: (F.pmod(F.xxhash64(*of), F.lit(buckets)) + part * buckets).cast("int")
-    shapes = F.transform("_words", lambda x: at(0, x))
-    words = F.transform("_tokens", lambda x: at(1, x))
-    pairs = F.transform("_tokens", lambda x, i: at(2, x, F.get("_tokens", i + 1)))
-    return F.concat(shapes, words, pairs)
+    words = lambda w: F.flatten(F.transform(w, lambda x, i: F.array(at(1, x), at(2, x, F.get(w, i + 1)))))
+    return F.concat(F.transform("_words", lambda x: at(0, x)), let(F.col("_tokens"), words))
 
 
-def train(features: list[dict[int, float]], target: np.ndarray, buckets: int = BUCKETS, rounds: int = 400, l2: float = 1e-4, rate: float = 20.0) -> Scorer:
-    """Logistic regression on soft targets over ``3 * buckets`` features, each class with half of the weight, by accelerated
-    gradient steps."""
+def train(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, target: np.ndarray, buckets: int = BUCKETS, rounds: int = 150, l2: float = 1e-4, rate: float = 20.0) -> Scorer:
+    """Logistic regression on soft targets over ``3 * buckets`` features (document, feature, value), each class with half of the
+    weight, by accelerated gradient steps."""
     size = 3 * buckets
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    cols = np.array([c for f in features for c in f], int)
-    vals = np.array([x for f in features for x in f.values()], float)
-    n = max(len(features), 1)
+    n = max(len(target), 1)
     good = np.clip(target.sum(), 1e-3, None)
     weight = target * (0.5 / good) + (1 - target) * (0.5 / max(n - good, 1e-3))
     # A vote that a share of common shapes decides needs no tiny steps: the shares of a document sum to 1.
@@ -187,14 +182,17 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -
     below = texts.filter(F.col("h") < int(-(2**63) + 2**64 * min(1.0, 2 * train_rows / total) * 0.999999))
     if total > 2 * train_rows and below.select("h").limit(train_rows).count() == train_rows:
         texts = below
-    rows = shaped(texts.orderBy("h", "doc_id", "text").limit(train_rows).drop("h")).withColumn("at", places(buckets))
-    rows = measured(rows).select(votes().alias("pattern"), "at").collect()
-    rows = [r for r in rows if r["at"]]
-    features = []
-    for r in rows:
-        ids, n = np.unique(r["at"], return_counts=True)
-        features.append(dict(zip(ids.tolist(), (3 * n / n.sum()).tolist())))
-    return Quality(labels, train(features, labels.posterior([r["pattern"] for r in rows]), buckets))
+    rows = shaped(spread(texts.orderBy("h", "doc_id", "text").limit(train_rows).drop("h"))).withColumn("at", places(buckets))
+    # Arrow keeps the features of a document as one array of 32-bit integers; as objects they would fill the driver.
+    held = measured(rows).select(votes().alias("pattern"), "at").filter(F.size("at") > 0).toArrow().combine_chunks()
+    if not held.num_rows:
+        return None
+    at = held["at"].combine_chunks()
+    sizes, cols = np.diff(at.offsets.to_numpy()), at.flatten().to_numpy()
+    key, n = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * (3 * buckets) + cols, return_counts=True)
+    doc = key // (3 * buckets)
+    target = labels.posterior(held["pattern"].to_pylist())
+    return Quality(labels, train(doc, key % (3 * buckets), 3 * n / sizes[doc], target, buckets))
 
 
 def score(docs: DataFrame, model: Quality | None, keep: float = KEEP) -> DataFrame:
@@ -215,4 +213,4 @@ def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "kept")
+    return classify(spread(table(spark, sf_dir, "documents"))).select("doc_id", "quality_score", "kept")

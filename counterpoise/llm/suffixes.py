@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, spread, table
 
 LENGTH, GRAM = 50, 20
 RUN_BYTES, BUCKET_ANCHORS, PART_BYTES = 2 << 20, 1 << 20, 6 << 20
@@ -561,4 +561,4 @@ FROM d LEFT JOIN x USING (doc_id)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+    return remove_repeats(spread(table(spark, sf_dir, "documents")), keep_bytes=False).drop("kept")
