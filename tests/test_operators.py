@@ -293,7 +293,42 @@ def test_csv_round_trip(spark, tmp_path):
     out = X.run([d], ["decision_tree"], ["smote"], ("native", "oversampler"), [1], 2, 4)
     tables.write_results(out, str(tmp_path / "out"))
     assert tables.load_results(spark, str(tmp_path / "out")).count() == 4
-    assert cli.main.__doc__ is None
+
+
+def test_sources_and_summaries(spark, tmp_path):
+    """Manifest rows, result files of one folder as one table, and the two summary tables with their schemas."""
+    import json
+
+    one = {"name": "a", "source": "x", "file": "a.f", "n_features": 4, "n_samples": 7, "positive_class": "2", "sha256": "00", "class_counts": {"0": 5, "1": 2}, "metadata": {"openml_id": 3, "original_classes": ["1", "2"]}}
+    (tmp_path / "m.json").write_text(json.dumps({"suite": "s", "description": "d", "datasets": [one, one | {"name": "b", "metadata": {"keel_url": "u"}}]}, indent=1))
+    rows = {r["name"]: r for r in tables.load_manifest(spark, str(tmp_path / "m.json")).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"]["class_counts"] == {"0": 5, "1": 2} and rows["a"]["metadata"]["openml_id"] == 3 and rows["b"]["metadata"]["keel_url"] == "u"
+    (tmp_path / "r").mkdir()
+    for k in range(2):
+        (tmp_path / f"r/{k}.csv").write_text(f"dataset,seed,fold,method,classifier,pr_auc\nd{k},42,1,m,rf,0.{k}5\n")
+    got = tables.load_results(spark, str(tmp_path / "r"))
+    assert sorted((r["dataset"], r["pr_auc"]) for r in got.collect()) == [("d0", 0.05), ("d1", 0.15)] and T.shape(got).first()["n_datasets"] == 2
+    (tmp_path / "ranks.csv").write_text("code,label,mean_pr_auc,avg_rank\nA,The a,0.5,1.5\n")
+    (tmp_path / "pairs.csv").write_text("code,label,mean_delta,median_delta,wins,ties,losses,p,holm_p\nB,The b,0.1,0.2,3,0,1,0.04,0.08\n")
+    assert T.lookup(tables.load_ranks(spark, str(tmp_path / "ranks.csv")), "A", "avg_rank") == 1.5 and T.lookup(tables.load_pairs(spark, str(tmp_path / "pairs.csv")), "B", "wins") == 3
+    assert X.parse_list("a, b  c") == ["a", "b", "c"] and X.parse_options(None) == {} and X.parse_options('{"a": 1}') == {"a": 1}
+    with pytest.raises(ValueError):
+        X.parse_options("[1]")
+    assert tables.resolve(["b", "paper", "b"], ["a", "b", "c"]) == ["b", "a", "c"]
+
+
+def test_result_rows_use_published_names(spark):
+    df = spark.createDataFrame([("m", "pub"), ("n", None)], "method string, paper_method_alias string")
+    assert [r["method"] for r in T.method_key(df).orderBy("method").collect()] == ["n", "pub"]
+
+
+def test_command_line(spark, blobs, tmp_path):
+    """A whole run from the command line, with parameters of the blend and of the oversampler."""
+    blobs.select("row_id", "features", "y").write.parquet(f"{tmp_path}/data/blobs.parquet")
+    cli.main(["--data", "blobs", "--data-dir", f"{tmp_path}/data", "--classifiers", "decision_tree", "--oversamplers", "outward_ladder", "--groups", "oversampler", "--seeds", "1", "--folds", "2", "--total-estimators", "2", "--oversampler-options", '{"max_candidates": 50}', "--output", f"{tmp_path}/out"])
+    assert tables.load_results(spark, f"{tmp_path}/out").count() == 2
+    with pytest.raises(SystemExit):
+        cli.main(["--help"])
 
 
 def test_stream_scores_like_a_batch(spark, tmp_path):
