@@ -195,6 +195,15 @@ def test_decontamination_needs_no_near_fingerprint(spark):
     assert any(r["hamming"] > decontaminate.RADIUS for r in found)
 
 
+def test_decontamination_runs_no_python(spark, small, monkeypatch):
+    """Neither the result's plan nor those of the tables written on the way leave the JVM."""
+    plans = []
+    plain = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(decontaminate, "cut", lambda df, what: plans.append(plain(df)) or common.cut(df, what))
+    out = decontaminate.contamination(common.table(spark, small, "documents"), common.table(spark, small, "benchmark"))
+    assert len(plans) == 3 and not any(x in p for p in [*plans, plain(out)] for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_block_index_meets_every_pair_within_the_radius():
     rng = random.Random(2)
     masks, width = set(decontaminate.near_masks()), decontaminate.BITS // decontaminate.BLOCKS
