@@ -293,6 +293,58 @@ def test_html_copies_are_no_template():
     assert html.differenced(a, []) == a and html.differenced([], [a]) == []
 
 
+def test_common_lines_of_long_pages():
+    """Rows are kept in stretches; the whole of two long pages still meets."""
+    a = [str(i % 700) for i in range(4000)]
+    got = html.common_lines(["x", *a, "y"], ["z", *a])
+    assert got == [False] + [True] * 4000 + [False]
+
+
+def test_html_pages_with_articles_are_differenced(spark):
+    """Every page is aligned with its neighbours; structure then restores what was deleted from an article."""
+    page = lambda i: f"<nav>Menu</nav><article><h1>Head {i}</h1><p>Text {i}</p><p>Said by all</p></article><div>Beside</div><footer>{i}</footer>"
+    rows = [(i, f"http://a.org/{i:02d}", page(i)) for i in range(20)] + [(30, "http://b.org/1", page(30))]
+    rows += [(40 + i, f"http://c.org/{i}", "<nav>Menu</nav><div>Top</div><p>Copied</p>") for i in range(3)]
+    got = {r["page_id"]: tuple(r)[2:] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(20), 30]:
+        text = f"Head {i}\nText {i}\nSaid by all"  # deleted: menu, the last line of the article, the line beside it
+        assert got[i] == (text, len(text), *((3, 1) if i < 20 else (0, 0)))
+    assert all(got[40 + i][0] == "Top\nCopied" for i in range(3))  # copies on both sides tell nothing
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_html_query_by_brute_force(spark, monkeypatch, article):
+    """Neighbours by sorting, lines as texts: the same deletions on a table, with articles and with those made plain."""
+    if not article:
+        monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(html, "PATH_PAGES", 2)
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    if not article:
+        pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1section"))
+        pages = pages.union(pages.filter("page_id % 3 = 0").select(F.explode(F.array([F.col("page_id") + 1000 * k for k in range(1, 6)])), "url", F.concat("html", F.lit("<nav>Printed</nav>"))))
+    rows = [(r["page_id"], html.site(r["url"]), html.parts(r["html"] or "")) for r in pages.collect()]
+    first = {}
+    for i, at, found in sorted(rows):
+        first.setdefault(at, found)
+    order, want = sorted(first), {}
+    for i, at, found in rows:
+        n = order.index(at)
+        beside = [first[order[m]] for m in (n - 1, n + 1) if 0 <= m < len(order) and order[m][0] == at[0]]
+        texts = [[x for x in p if x[1] != html.MARKED] for p in (found, *beside)]
+        beside = [p for p, t in zip(beside, texts[1:]) if t != texts[0]]
+        gone = [False] * len(found)
+        for part in range(3):
+            here = [j for j, x in enumerate(found) if x[1] == part]
+            sides = [html.common_lines([found[j][0] for j in here], [t for t, k in p if k == part]) for p in beside]
+            for j, *s in zip(here, *sides):
+                gone[j] = bool(s) and all(s)
+        kept = [t for (t, k), g in zip(found, gone) if k == html.ARTICLE or not article and k == html.REST and not g]
+        want[i] = "\n".join(kept), sum(gone), sum(g for (_, k), g in zip(found, gone) if k == html.ARTICLE)
+    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_restored"]) for r in html.extract(pages).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 0
+
+
 # --- packing ---
 
 
